@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import decontaminate
 from .bpe import op1_byte_bpe
+from .decontaminate import op10_decontaminate
+from .html_text import op6_html_extraction
 from .langid import op4_language_id
 from .media import op2_media_columns
 from .secret_scan import op9_secret_scan
+from .simhash import op8_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_media_columns, op4_language_id, op9_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_media_columns, op4_language_id, op6_html_extraction, op8_simhash_near_dedup, op9_secret_scan, op10_decontaminate)}
+ORACLE_SQL: dict[str, str] = {"op10_decontaminate": decontaminate.ORACLE_SQL}
