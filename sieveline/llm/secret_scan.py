@@ -130,3 +130,30 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of base spans by kind, their digest, and all spans of every whole text."""
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def redact(df: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``df`` with each span of the text replaced by ``[kind]``, and ``chars_col`` (if any) counted anew where a text changed."""
+
+    def clean(text: str | None) -> str | None:
+        found = spans(text)[1]
+        if not found:
+            return text
+        out, at = [], 0
+        for start, kind, end in found:
+            if start >= at:
+                out += [text[at:start], f"[{KINDS[kind]}]"]
+            at = max(at, end)
+        return "".join([*out, text[at:]])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        before = batch.column(text_col).to_pylist()
+        after = [clean(t) for t in before]
+        columns = {c: batch.column(c) for c in batch.schema.names}
+        columns[text_col] = pa.array(after, batch.schema.field(text_col).type)
+        if chars_col:
+            counts = columns[chars_col].to_pylist()
+            columns[chars_col] = pa.array([n if a is b else len(a) for n, a, b in zip(counts, after, before, strict=True)], columns[chars_col].type)
+        return pa.RecordBatch.from_pydict(columns)
+
+    return map_slices(df, text_col, df.schema, work)
