@@ -39,11 +39,13 @@ from .common import Scratch, table
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Bytes of text that are worked on at once.
 PIECE = 1 << 19
 #: Bytes of input for each bucket.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+#: Bytes of runs whose suffixes are sorted at once; runs of one anchor stay together.
+SORTED_BYTES = 1 << 20
 ANCHOR_BITS = 40
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = []
@@ -95,7 +97,8 @@ def _piece_runs(x: np.ndarray, doc: np.ndarray, end: np.ndarray) -> tuple[np.nda
     first[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (doc[at[1:]] != doc[at[:-1]])
     where = np.flatnonzero(first)
     start, strings = at[where], np.diff(np.append(where, len(at)))
-    return start, strings, doc[start], h[anchor[where]], _content_hashes(x, start, strings + LENGTH - 1)
+    # Smallest hashes crowd at the low end; mixed again, they spread over the buckets.
+    return start, strings, doc[start], mix(h[anchor[where]]), _content_hashes(x, start, strings + LENGTH - 1)
 
 
 def runs(x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -239,6 +242,17 @@ def previous_documents(x: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.
     return out
 
 
+def _parts(anchor: np.ndarray, length: np.ndarray) -> Iterator[slice]:
+    """Slices of sorted anchors of about ``SORTED_BYTES``, each anchor whole."""
+    firsts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
+    total = np.concatenate([[0], np.cumsum(length)])
+    low = 0
+    for first in [*firsts[1:], len(anchor)] if len(anchor) else []:
+        if total[first] - total[low] >= SORTED_BYTES or first == len(anchor):
+            yield slice(low, first)
+            low = first
+
+
 def _judge(asked: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
     """For each string of each block's runs, whether a document smaller than the run's first in that block has it."""
     sizes = [len(a["anchor"]) for a in asked]
@@ -265,14 +279,15 @@ def _judge(asked: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
     alike = anchor[head][1:] == anchor[head][:-1]
     several[1:] |= alike
     several[:-1] |= alike
-    if several.any():
-        some = head[several]
-        joined = _gather(x, start[some], length[some])
-        begins = np.cumsum(length[some]) - length[some]
+    chosen = np.flatnonzero(several)
+    for part in _parts(anchor[head][chosen], length[head][chosen]):
+        which = chosen[part]
+        some = head[which]
         n = strings[some]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        found = previous_documents(joined, np.repeat(begins, n) + inner, np.repeat(least[some], n))
-        earliest[np.repeat(offset[several], n) + inner] = found
+        begins = np.cumsum(length[some]) - length[some]
+        found = previous_documents(_gather(x, start[some], length[some]), np.repeat(begins, n) + inner, np.repeat(least[some], n))
+        earliest[np.repeat(offset[which], n) + inner] = found
     inner = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
     flags = (earliest[np.repeat(offset[kind], strings) + inner] < np.repeat(least, strings)).astype(np.uint8)
     cuts = np.cumsum([0, *[int(a["strings"].sum()) for a in asked]])
@@ -282,7 +297,10 @@ def _judge(asked: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
 def _cut(ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, starts: np.ndarray, id_col: str) -> pa.Table:
     """The documents of a block without what strings at ``starts`` cover."""
     n = len(x)
-    covered = np.cumsum(np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(starts + LENGTH, minlength=n + 1)[: n + 1])[:n] > 0
+    change = np.zeros(n + 1, np.int32)
+    change[starts] += 1  # no string starts twice
+    change[starts + LENGTH] -= 1
+    covered = np.cumsum(change[:n], dtype=np.int32) > 0
     ends = np.cumsum(sizes)
     rows: dict[str, list] = {"n_removed": [], "n_spans": [], "kept_sha256": []}
     kept = []
@@ -344,10 +362,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             _, ids, sizes, x, found, s = sent(t, answers.filter(pc.invert(late)))
             flags = answered(answers.filter(late), np.arange(int(s.strings.sum()))).astype(bool)
             start, strings, doc = (c[s.runs] for c in found[:3])
-            inner = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+            first = np.cumsum(strings) - strings
+            inner = np.arange(strings.sum(), dtype=np.int32) - np.repeat(first.astype(np.int32), strings)
             begins = np.cumsum(s.strings) - s.strings
-            hit = flags[np.repeat(begins[s.of_run], strings) + inner] | np.repeat(ids[doc] > s.least[s.of_run], strings)
-            made = _cut(ids, sizes, x, (np.repeat(start, strings) + inner)[hit], id_col)
+            hit = flags[np.repeat(begins[s.of_run].astype(np.int32), strings) + inner] | np.repeat(ids[doc] > s.least[s.of_run], strings)
+            made = _cut(ids, sizes, x, np.repeat(start.astype(np.int32), strings)[hit] + inner[hit], id_col)
         return made if keep else made.drop_columns(["kept"])
 
     schema = f"`{id_col}` bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if keep else "")
