@@ -1,0 +1,197 @@
+"""Annotated datasets: conversion of raw records, duplicates, templates, leak-free splits, statistics and profiles."""
+
+from __future__ import annotations
+
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as St
+
+from ..functions.spans import overlap_pairs, piece
+from ..functions.text import fingerprint, strip
+from .masking import template
+
+SPLITS = ("train", "validation", "test_fixed")
+ENTITY = "struct<type:string,text:string,start:int,end:int>"
+#: Names that raw records use for each column.
+FIELDS = {"id": ("id", "sample_id"), "text": ("text", "content"), "entities": ("entities", "labels"), "type": ("type", "label"), "value": ("text", "value"), "start": ("start", "start_offset"), "end": ("end", "end_offset")}
+
+
+def first_present(variant: Column, names: tuple[str, ...], kind: str) -> Column:
+    """The value of the first name that an object has, even if that value is null; null if it isn't of the kind."""
+    keys = F.json_object_keys(F.to_json(variant))
+    out = F.lit(None).cast(kind)
+    for name in reversed(names):
+        out = F.when(F.array_contains(keys, name), F.try_variant_get(variant, f"$.{name}", kind)).otherwise(out)
+    return out
+
+
+def first_value(*columns: Column) -> Column:
+    """The first value that isn't null."""
+    return F.coalesce(*columns)
+
+
+def stable_id(source: Column, raw_id: Column, digest: Column) -> Column:
+    """The source and the raw id without its prefix, or the start of the text's digest where there is none."""
+    bare = F.regexp_replace(strip(raw_id.cast("string")), "^(?:zh_chat_|zh_)", "")
+    none = raw_id.isNull() | (strip(raw_id.cast("string")) == "")
+    return F.concat_ws("_", source, F.when(none, F.left(digest, F.lit(16))).otherwise(bare))
+
+
+def canonical_type(raw: Column, aliases: dict[str, str], policy: str = "report") -> Column:
+    """A label's type. Unknown labels: ``error`` raises, ``skip`` gives null, ``report`` keeps them in lower case."""
+    known = F.try_element_at(F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv]), raw) if aliases else F.lit(None).cast("string")
+    other = {"error": F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(raw, F.lit("null")))).cast("string"), "skip": F.lit(None).cast("string"), "report": F.lower(strip(raw))}[policy]
+    return F.when(known.isNotNull(), known).otherwise(other)
+
+
+def valid_span(text: Column, start: Column, end: Column, value: Column) -> Column:
+    """0 <= start < end <= length, and the text there is the value."""
+    inside = (start >= 0) & (start < end) & (end <= F.length(text))
+    return F.coalesce(inside & value.eqNullSafe(piece(text, start, end)), F.lit(False))
+
+
+def repaired_span(text: Column, start: Column, end: Column, value: Column) -> Column:
+    """A span as struct<start, end, text>: a missing value is filled, an inclusive end is moved; null if nothing fits."""
+    s, e = start.try_cast("int"), end.try_cast("int")
+    made = lambda stop: F.struct(s.alias("start"), stop.alias("end"), piece(text, s, stop).alias("text"))
+    fits = lambda stop: (s >= 0) & (s < stop) & (stop <= F.length(text))
+    return F.when(fits(e) & (value.isNull() | (piece(text, s, e) == value)), made(e)).when(fits(e + 1) & (piece(text, s, e + 1) == value), made(e + 1))
+
+
+def convert(raw: DataFrame, aliases: dict[str, str], targets: tuple[str, ...], *, policy: str = "report", license_name: str = "unknown") -> DataFrame:
+    """Raw records (source, row, value as JSON text) as unified records, with what is wrong in ``issues``.
+
+    A record is ``ok`` if it has a text; entities that aren't valid are issues and go. Key presence decides between names, so an
+    explicit null wins. Booleans aren't numbers.
+    """
+    v = F.try_parse_json("value")
+    base = raw.select("source", "row", v.alias("v")).select("source", "row", first_present(F.col("v"), FIELDS["id"], "string").alias("raw_id"), first_present(F.col("v"), FIELDS["text"], "variant").alias("t"), first_present(F.col("v"), FIELDS["entities"], "variant").alias("e"))
+    kind = lambda c: F.schema_of_variant(c)
+    base = base.withColumn("text", F.when(kind(F.col("t")) == "STRING", F.try_variant_get("t", "$", "string")))
+    listed = F.when(F.col("e").isNull() | F.is_variant_null("e"), F.array().cast("array<variant>")).otherwise(F.try_variant_get("e", "$", "array<variant>"))
+    base = base.withColumn("list", listed)
+
+    def one(e: Column, i: Column) -> Column:
+        number = lambda names: F.when(kind(first_present(e, names, "variant")) == "BIGINT", first_present(e, names, "int"))
+        label = first_present(e, FIELDS["type"], "string")
+        value = F.when(kind(first_present(e, FIELDS["value"], "variant")) == "STRING", first_present(e, FIELDS["value"], "string"))
+        start, end = number(FIELDS["start"]), number(FIELDS["end"])
+        known = F.coalesce(F.array_contains(F.array(*map(F.lit, aliases)), label), F.lit(False))
+        typ = canonical_type(label, aliases, policy)
+        return F.struct(i.alias("i"), label.alias("label"), known.alias("known"), typ.alias("type"), value.alias("text"), start.alias("start"), end.alias("end"), valid_span(F.col("text"), start, end, value).alias("valid"))
+
+    seen = base.withColumn("seen", F.transform("list", one)).withColumn("ok", F.coalesce(F.length("text") > 0, F.lit(False)) & F.col("list").isNotNull())
+    kept = F.filter("seen", lambda e: e["valid"] & e["type"].isNotNull())
+    sorted_ = F.sort_array(F.transform(kept, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("type"), e["text"].alias("text"))))
+    entities = F.transform(sorted_, lambda e: F.struct(e["type"].alias("type"), e["text"].alias("text"), e["start"].alias("start"), e["end"].alias("end")))
+    wrong = F.transform(F.filter("seen", lambda e: ~e["valid"]), lambda e: F.struct(e["i"].alias("entity_index"), F.lit("invalid span or entity text").alias("reason"), e["label"].alias("label")))
+    unknown = F.transform(F.filter("seen", lambda e: ~e["known"] | ~F.coalesce(e["type"].isin(*targets), F.lit(False))), lambda e: F.struct(e["i"].alias("entity_index"), F.lit("unknown label").alias("reason"), e["label"].alias("label")))
+    whole = F.when(F.col("ok"), F.concat(wrong, unknown)).otherwise(F.array(F.struct(F.lit(None).cast("int").alias("entity_index"), F.when(F.col("list").isNull(), "entities is not a list").otherwise("empty or missing text").alias("reason"), F.lit(None).cast("string").alias("label"))))
+    out = seen.withColumn("entities", F.when(F.col("ok"), entities)).withColumn("issues", whole).withColumn("text_sha256", fingerprint(F.col("text")))
+    return out.select(F.when(F.col("ok"), stable_id(F.col("source"), F.col("raw_id"), F.col("text_sha256"))).alias("id"), "source", F.lit(license_name).alias("license"), F.lit("").alias("split"), "text", "entities", F.lit(False).alias("pseudo_label"), "text_sha256", template_fingerprint(F.col("text"), F.col("entities")).alias("template_sha256"), "row", "ok", "issues")
+
+
+def template_fingerprint(text: Column, entities: Column) -> Column:
+    """SHA-256 of the text with its entities replaced by their types."""
+    return F.sha2(strip(template(text, F.coalesce(entities, F.array().cast(f"array<{ENTITY}>")))), 256)
+
+
+def deduplicate(records: DataFrame) -> DataFrame:
+    """One record of each text: the one with most entities, then by source and id; with ``duplicates``, how many others it had."""
+    group = Window.partitionBy("text_sha256")
+    order = group.orderBy(F.desc(F.size("entities")), "source", "id")
+    return records.withColumn("_n", F.row_number().over(order)).withColumn("duplicates", F.count("*").over(group) - 1).where("_n = 1").drop("_n")
+
+
+def conflicts(records: DataFrame) -> DataFrame:
+    """Texts whose records disagree on their entities."""
+    return records.groupBy("text_sha256").agg(F.sort_array(F.collect_list("id")).alias("sample_ids"), F.sort_array(F.collect_set(F.to_json("entities"))).alias("signatures")).where(F.size("signatures") > 1)
+
+
+def split_stats(records: DataFrame) -> DataFrame:
+    """A row for each split: sizes, entities, lengths and overlaps."""
+    n = F.col("_n")
+    sized = records.select("split", "text", F.size("entities").alias("_n"), overlap_pairs(F.col("entities")).alias("_pairs"))
+    return sized.groupBy("split").agg(
+        F.count("*").alias("samples"), F.sum(n).alias("entities"), F.count_if(n == 0).alias("no_entity_samples"), F.count_if(n > 1).alias("multi_entity_samples"),
+        F.round(F.avg(F.length("text")), 3).alias("average_text_length"), F.max(F.length("text")).alias("max_text_length"), F.sum("_pairs").alias("overlapping_entity_pairs"),
+    )
+
+
+def label_counts(records: DataFrame, *by: str) -> DataFrame:
+    """Entities by type (and by other columns)."""
+    return records.select(*by, F.explode("entities.type").alias("type")).groupBy(*by, "type").agg(F.count("*").alias("n"))
+
+
+def class_weights(counts: DataFrame, label: str, n: str, beta: float | None = None) -> DataFrame:
+    """A weight for each label, 1 on average: inverse frequency, or by the effective number of samples for a ``beta``."""
+    raw = 1 / F.col(n) if beta is None else (1 - beta) / (1 - F.pow(F.lit(beta), F.col(n)))
+    mean = counts.agg(F.avg(raw).alias("mean"))
+    return counts.withColumn("raw", raw).crossJoin(F.broadcast(mean)).select(label, (F.col("raw") / F.col("mean")).alias("weight"))
+
+
+def not_frozen(records: DataFrame, fixed: DataFrame, *, templates: bool = False) -> DataFrame:
+    """Records whose text (or template too) isn't in the frozen test set."""
+    out = records.join(fixed.select("text_sha256").distinct(), "text_sha256", "left_anti")
+    return out.join(fixed.select("template_sha256").distinct(), "template_sha256", "left_anti") if templates else out
+
+
+def missing_from(records: DataFrame, fixed: DataFrame) -> DataFrame:
+    """Frozen records that the sources no longer have."""
+    return fixed.join(records.select("text_sha256").distinct(), "text_sha256", "left_anti")
+
+
+def assign_splits(records: DataFrame, ratios: dict[str, float], seed: int = 42) -> DataFrame:
+    """``records`` with a split for each, all of a template in one, near the ratios in size, sources and labels.
+
+    Choosing a split for one template after the other, by what is missing most, is a sequence that a cluster can't share. The
+    choice matters for large templates only, so those above a thousandth of all records, of which there are a thousand at
+    most, are placed so, largest first. A hash deals the others in the shares that are left; being blind to
+    sources and labels, it keeps each near the ratios.
+    """
+    if abs(sum(ratios.values()) - 1) > 1e-9:
+        raise ValueError("split ratios must sum to 1")
+    wanted = [s for s in SPLITS if ratios.get(s, 0) > 0]
+    counts = records.groupBy("template_sha256").agg(F.count("*").alias("size"))
+    spark: SparkSession = records.sparkSession
+    large = counts.agg(F.sum("size").alias("all"), F.max("size").alias("max")).first()
+    total = large["all"] or 0
+    # Templates above a thousandth of all records are placed one by one; at most a thousand exist.
+    heavy = counts.where(F.col("size") > max(total / 1000, 0)).orderBy(F.desc("size"), F.xxhash64("template_sha256", F.lit(seed))).collect() if total else []
+    filled = Counter()
+    placed = []
+    for r in heavy:
+        best = min(wanted, key=lambda s: ((filled[s] + r["size"]) / max(total * ratios[s], 1), wanted.index(s)))
+        filled[best] += r["size"]
+        placed.append((r["template_sha256"], best))
+    need = {s: max(total * ratios[s] - filled[s], 0) for s in wanted}
+    spread = sum(need.values()) or 1
+    draw = F.pmod(F.xxhash64("template_sha256", F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    choice = F.lit(wanted[-1])
+    for s in reversed(wanted[:-1]):
+        bound = sum(need[x] for x in wanted[: wanted.index(s) + 1]) / spread
+        choice = F.when(draw < bound, s).otherwise(choice)
+    fixed = spark.createDataFrame(placed, "template_sha256 string, _placed string")
+    return records.drop("split").join(F.broadcast(fixed), "template_sha256", "left").withColumn("split", F.coalesce("_placed", choice)).drop("_placed")
+
+
+def profile(records: DataFrame, file: str, value: str) -> DataFrame:
+    """A row for each file of JSON lines: records, malformed lines, and entities that are invalid, repeated or overlap."""
+    schema = f"array<{ENTITY}>"
+    v = F.try_parse_json(value)
+    base = records.select(file, v.alias("v")).withColumn("text", F.try_variant_get("v", "$.text", "string")).withColumn("e", F.coalesce(F.try_variant_get("v", "$.entities", schema), F.array().cast(schema)))
+    bad = F.size(F.filter("e", lambda e: ~valid_span(F.col("text"), e["start"], e["end"], e["text"])))
+    return base.groupBy(file).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("v").isNull()).alias("malformed"), F.sum(F.size("e")).alias("entities"), F.sum(bad).alias("invalid_entities"),
+        F.sum(F.size("e") - F.size(F.array_distinct("e"))).alias("duplicate_entities"), F.sum(overlap_pairs(F.col("e"))).alias("overlapping_pairs"),
+    )
+
+
+def field_counts(records: DataFrame, value: str, *by: str) -> DataFrame:
+    """How many records have each field."""
+    return records.select(*by, F.explode(F.json_object_keys(value)).alias("field")).groupBy(*by, "field").agg(F.count("*").alias("n"))
+
+
+ENTITY_TYPE = St.ArrayType(St.StructType([St.StructField("type", St.StringType()), St.StructField("text", St.StringType()), St.StructField("start", St.IntegerType()), St.StructField("end", St.IntegerType())]))
