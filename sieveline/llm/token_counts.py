@@ -37,7 +37,7 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = 4 * BLOCK_TOK
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_buffer() or b""
+                data = content.as_py() or b""
                 for k, at in enumerate(range(0, len(data), block_bytes)):
                     yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([data[at : at + block_bytes]], pa.binary())})
 
