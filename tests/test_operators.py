@@ -153,7 +153,7 @@ def test_readers(spark, tmp_path):
     path = str(tmp_path / "a.jsonl")
     assert [(r.row, r.malformed) for r in readers.counted_json_lines(spark, path).orderBy("row").collect()] == [(1, False), (3, False), (4, True)]
     assert readers.lenient_json_lines(spark, path, "s").count() == 2
-    assert readers.first_lines(spark, path, 2).count() == 1
+    assert readers.first_lines(spark, path, 2).count() == 2
     with pytest.raises(Exception, match="not a JSON object"):
         readers.strict_json_lines(spark, path).collect()
     assert readers.json_documents(spark, str(tmp_path / "c.json")).count() == 2
@@ -168,7 +168,7 @@ def test_writers(spark, tmp_path):
     with pytest.raises(ValueError, match="frozen"):
         writers.frozen(df.limit(1), str(tmp_path / "f"))
     writers.csv(df, str(tmp_path / "c"))
-    assert spark.read.text(str(tmp_path / "c")).first().value == "﻿a,b"
+    assert next((tmp_path / "c").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfa,b")
     assert writers.archive(spark.createDataFrame([("a.txt", b"x")], "name string, content binary"))[:2] == b"PK"
 
 
