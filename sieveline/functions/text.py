@@ -47,9 +47,9 @@ def is_resident_id(c: Column) -> Column:
     bare = ascii_digits(F.upper(without_spaces(c)))
     shaped = bare.rlike("^[0-9]{17}[0-9X]$")
     day = F.try_to_timestamp(F.substring(bare, 7, 8), F.lit("yyyyMMdd"))
-    total = F.lit(0)
-    for i, weight in enumerate(ID_WEIGHTS):
-        total = total + F.coalesce(F.substring(bare, i + 1, 1).try_cast("int"), F.lit(0)) * weight
+    weights = F.expr(f"array({', '.join(map(str, ID_WEIGHTS))})")
+    products = F.zip_with(F.split(F.left(bare, F.lit(17)), ""), weights, lambda d, w: F.coalesce(d.try_cast("int") * w, F.lit(0)))
+    total = F.aggregate(products, F.lit(0), lambda s, x: s + x)
     check = F.substring(F.lit(ID_CHECK), total % 11 + 1, F.lit(1))
     return F.coalesce(shaped & (F.substring(bare, 7, 4) != "0000") & day.isNotNull() & (F.substring(bare, 18, 1) == check), F.lit(False))
 

@@ -49,48 +49,50 @@ def _candidate(text: Column, kind: str, s: Column, normal: Column, confidence: C
     return F.struct(F.lit(kind).alias("type"), piece(text, s["start"], s["end"]).alias("text"), normal.alias("normalized_text"), s["start"].alias("start"), s["end"].alias("end"), lit(confidence).cast("double").alias("confidence"), F.lit("rule").alias("source"), lit(validation).alias("validation"))
 
 
-def _found(text: Column, pattern: str, make, keep=None, *, guard: str) -> Column:
-    """Candidates of a pattern: ``make(span, raw)``, if ``keep(span, raw)``. ``guard`` is a cheap pattern that a text with candidates has."""
-    raw = lambda s: piece(text, s["start"], s["end"])
+def _found(text: Column, pattern: str, make, keep=None, *, guard: str, facts=None) -> Column:
+    """Candidates of a pattern: ``make(m)`` of matches m that ``keep(m)``.
+
+    ``guard`` is a cheap pattern that a text with candidates has. A match has start, end, raw, and the ``facts(m)`` that are worked
+    out once.
+    """
     at = F.when(text.rlike(guard), spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    if keep:
-        at = F.filter(at, lambda s: keep(s, raw(s)))
-    return F.transform(at, lambda s: make(s, raw(s)))
+    seen = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), piece(text, s["start"], s["end"]).alias("raw")))
+    if facts:
+        seen = F.transform(seen, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["raw"].alias("raw"), *[c.alias(k) for k, c in facts(m).items()]))
+    return F.transform(F.filter(seen, keep) if keep else seen, make)
 
 
 def resident_ids(text: Column) -> Column:
-    normal = lambda raw: F.upper(T.without_spaces(raw))
-    good = lambda raw: T.is_resident_id(raw)
-    make = lambda s, raw: _candidate(text, "id_number", s, normal(raw), F.when(good(raw), 0.995).otherwise(0.45), F.when(good(raw), "passed").otherwise("failed"))
-    return _found(text, RESIDENT_ID, make, lambda s, raw: good(raw) | has_context(text, "id_number", s["start"], s["end"]), guard=_DIGITS)
+    facts = lambda m: {"normal": F.upper(T.without_spaces(m["raw"])), "good": T.is_resident_id(m["raw"]), "near": has_context(text, "id_number", m["start"], m["end"])}
+    make = lambda m: _candidate(text, "id_number", m, m["normal"], F.when(m["good"], 0.995).otherwise(0.45), F.when(m["good"], "passed").otherwise("failed"))
+    return _found(text, RESIDENT_ID, make, lambda m: m["good"] | m["near"], guard=_DIGITS, facts=facts)
 
 
 def cards(text: Column) -> Column:
-    normal = lambda raw: T.without_spaces(raw, hyphens=True)
-    make = lambda s, raw: _candidate(text, "bank_card", s, normal(raw), F.when(T.is_card(raw), 0.99).otherwise(0.4), F.when(T.is_card(raw), "passed").otherwise("failed"))
-    keep = lambda s, raw: ~T.is_resident_id(normal(raw)) & ~T.is_phone(raw) & (T.is_card(raw) | has_context(text, "bank_card", s["start"], s["end"]))
-    return _found(text, CARD, make, keep, guard=_DIGITS)
+    facts = lambda m: {"normal": T.without_spaces(m["raw"], hyphens=True), "good": T.is_card(m["raw"]), "other": T.is_resident_id(T.without_spaces(m["raw"], hyphens=True)) | T.is_phone(m["raw"]), "near": has_context(text, "bank_card", m["start"], m["end"])}
+    make = lambda m: _candidate(text, "bank_card", m, m["normal"], F.when(m["good"], 0.99).otherwise(0.4), F.when(m["good"], "passed").otherwise("failed"))
+    return _found(text, CARD, make, lambda m: ~m["other"] & (m["good"] | m["near"]), guard=_DIGITS, facts=facts)
 
 
 def phones(text: Column) -> Column:
-    make = lambda s, raw: _candidate(text, "phone", s, T.normal_phone(raw), F.when(has_context(text, "phone", s["start"], s["end"]), 0.99).otherwise(0.97))
-    return _found(text, PHONE, make, lambda s, raw: T.is_phone(raw), guard=_DIGITS)
+    make = lambda m: _candidate(text, "phone", m, T.normal_phone(m["raw"]), F.when(has_context(text, "phone", m["start"], m["end"]), 0.99).otherwise(0.97))
+    return _found(text, PHONE, make, lambda m: T.is_phone(m["raw"]), guard=_DIGITS)
 
 
 def emails(text: Column) -> Column:
-    return _found(text, EMAIL, lambda s, raw: _candidate(text, "email", s, raw, 0.99), guard="@")
+    return _found(text, EMAIL, lambda m: _candidate(text, "email", m, m["raw"], 0.99), guard="@")
 
 
 def plates(text: Column) -> Column:
-    return _found(text, PLATE, lambda s, raw: _candidate(text, "license_plate", s, F.upper(raw), 0.97), guard=PLATE[4:PLATE.index("]") + 1])
+    return _found(text, PLATE, lambda m: _candidate(text, "license_plate", m, F.upper(m["raw"]), 0.97), guard=PLATE[4:PLATE.index("]") + 1])
 
 
 def passports(text: Column) -> Column:
-    return _found(text, PASSPORT, lambda s, raw: _candidate(text, "passport", s, F.upper(raw), 0.94), lambda s, raw: has_context(text, "passport", s["start"], s["end"]), guard=f"(?iu){CONTEXT['passport']}")
+    return _found(text, PASSPORT, lambda m: _candidate(text, "passport", m, F.upper(m["raw"]), 0.94), lambda m: has_context(text, "passport", m["start"], m["end"]), guard=f"(?iu){CONTEXT['passport']}")
 
 
 def ip_addresses(text: Column) -> Column:
-    both = [_found(text, p, lambda s, raw: _candidate(text, "ip_address", s, F.lower(raw), 0.99), lambda s, raw: T.is_ip(raw), guard=g) for p, g in ((IPV4, r"(?U)\d\.\d"), (IPV6, ":[0-9A-Fa-f]{0,4}:"))]
+    both = [_found(text, p, lambda m: _candidate(text, "ip_address", m, F.lower(m["raw"]), 0.99), lambda m: T.is_ip(m["raw"]), guard=g) for p, g in ((IPV4, r"(?U)\d\.\d"), (IPV6, ":[0-9A-Fa-f]{0,4}:"))]
     return F.concat(*both)
 
 
@@ -101,8 +103,8 @@ def urls(text: Column) -> Column:
 
 
 def in_context(text: Column, kind: str, pattern: str, confidence: float) -> Column:
-    near = lambda s, raw: has_context(text, kind, s["start"], s["end"]) & (F.lower(raw) != "wechat" if kind == "wechat_id" else F.lit(True))
-    return _found(text, pattern, lambda s, raw: _candidate(text, kind, s, raw, confidence), near, guard=f"(?iu){CONTEXT[kind]}")
+    near = lambda m: has_context(text, kind, m["start"], m["end"]) & (F.lower(m["raw"]) != "wechat" if kind == "wechat_id" else F.lit(True))
+    return _found(text, pattern, lambda m: _candidate(text, kind, m, m["raw"], confidence), near, guard=f"(?iu){CONTEXT[kind]}")
 
 
 def candidates(text: Column) -> Column:
@@ -147,5 +149,8 @@ def detect(df: DataFrame, text_col: str = "text", out: str = "rules") -> DataFra
 
 
 def exploded(df: DataFrame, entities: str, *keep: str) -> DataFrame:
-    """A row for each entity."""
-    return df.select(*keep, F.inline(entities))
+    """A row for each entity.
+
+    The outer form keeps the optimizer from copying the detectors into a filter below.
+    """
+    return df.select(*keep, F.inline_outer(entities)).where("type IS NOT NULL")

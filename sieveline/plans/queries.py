@@ -40,7 +40,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _found(df: DataFrame, key: str, found, text: str = "text") -> DataFrame:
-    return df.select(key, F.explode(found(F.col(text))).alias("e")).select(key, F.col("e.normalized_text").alias("value"))
+    return df.select(key, F.explode_outer(found(F.col(text))).alias("e")).where("e IS NOT NULL").select(key, F.col("e.normalized_text").alias("value"))
 
 
 EMAIL_SQL = r"(?:^|[^A-Za-z0-9_.+-])([A-Za-z0-9.!#$%&''*+/=?^_`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
@@ -65,7 +65,7 @@ def ipv4_entities(spark, sf_dir):
 @query()
 def card_entities(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.inline(rules.cards(F.col("text")))).select("doc_id", "text", "normalized_text", "start", "end", "confidence", "validation")
+    return rules.exploded(docs.select("doc_id", rules.cards(F.col("text")).alias("cards")), "cards", "doc_id").select("doc_id", "text", "normalized_text", "start", "end", "confidence", "validation")
 
 
 @query("SELECT page_id, regexp_replace(url, '[.,;:!?)\\]}''\"]+$', '') AS value FROM pages WHERE url LIKE 'http%'")
@@ -84,7 +84,7 @@ def entity_counts_by_source(spark, sf_dir):
 def detect_documents(spark, sf_dir):
     """All detectors, fused."""
     docs = fusion.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return docs.select("doc_id", F.inline("final")).select("doc_id", "type", "text", "start", "end", "confidence", "validation")
+    return rules.exploded(docs, "final", "doc_id").select("doc_id", "type", "text", "start", "end", "confidence", "validation")
 
 
 def _key(c: str, width: int) -> F.Column:
