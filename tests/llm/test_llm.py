@@ -382,6 +382,41 @@ def test_near_copies(spark):
     assert near_copies.keep_one(empty(spark)).count() == 0
 
 
+def test_near_copies_of_crossing_families(spark):
+    """Edits of originals that share a passage, and texts with little but the passage, against components over all pairs."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    texts = []
+    for _ in range(3):
+        own = passage + [word() for _ in range(50)]
+        texts.append(own)
+        for _ in range(40):
+            copy = own[:]
+            for p in rnd.sample(range(200), rnd.randint(2, 6)):
+                copy[p] = word()
+            texts.append(copy)
+    texts += [passage + [word() for _ in range(rnd.randint(10, 60))] for _ in range(80)]
+    rnd.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    df = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    want = {find(i) for i in range(len(texts))}
+    assert 20 < len(want) < 120
+    assert {r.doc_id for r in near_copies.keep_one(df).collect()} == want
+
+
 def test_pipeline(spark, sf, docs):
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, sf).select("doc_id", "n_tokens", "exact").collect()}
     with duckdb.connect() as c:
