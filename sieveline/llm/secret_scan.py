@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -85,13 +87,15 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     if not _novelty:
         _novelty.append(Novelty())
     found, taken = [], 0
+    # Base spans by start, with the largest end so far: one search tells whether any overlaps.
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
     for word in _SENSITIVE.finditer(text):
         for m in _CANDIDATE.finditer(text, max(taken, word.end()), min(len(text), word.end() + NEAR)):
-            start, end = m.start(), m.end()
-            while end < len(text) and _CANDIDATE.fullmatch(text, start, end + 1):
-                end += 1
+            start, end = m.start(), _CANDIDATE.match(text, m.start()).end()
             taken = max(taken, end)
-            if any(s < end and start < e for s, _, e in base) or not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]):
+            before = bisect_left(starts, end)
+            if (before and reach[before - 1] > start) or not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]):
                 continue
             if _novelty[0].of(text, start, end) >= LEAST_NOVELTY:
                 found.append((start, 3, end))

@@ -345,6 +345,13 @@ def test_op9_cases(spark):
     assert secret_scan.scan(odd(spark)).count() == len(ODD) + 2
 
 
+def test_op9_long_runs_in_linear_time():
+    rnd = random.Random(4)
+    run = "".join(rnd.choice("GHJKLMNPghjklmnp01234+/") for _ in range(400_000))
+    assert secret_scan.spans(f"the credential is {run} ok")[1] == [(18, 3, 18 + len(run))]
+    assert len(secret_scan.spans("secret deadbeefdeadbeef01 " * 20_000)[0]) == 20_000
+
+
 def test_op10(spark, sf):
     df = registry.QUERIES["op10_decontaminate"](spark, sf)
     assert difference(df, decontaminate.ORACLE_SQL, sf) is None
