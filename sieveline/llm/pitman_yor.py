@@ -2,9 +2,18 @@
 
 Each context word has a restaurant whose dishes are the words that follow it; a dish's tables send customers to one
 restaurant of single words, the parent that all contexts share, whose base is uniform over the V known words and one
-more. A sweep seats the customers of each pair anew, one after the other, given the parent's probabilities and the other
-dishes' tables; beyond ``EXACT`` customers of a dish they are seated in groups of a sixteenth of those that sit, which are
-binomial. The parent is seated likewise. A pair's predictive probability is averaged over the last sweeps.
+more. A sweep of the Gibbs sampler draws four things in turn, each given the others:
+
+* the parent's tables of each word, given its guests;
+* the parent's distribution G, which is a gamma variable for each word, and for what the parent's tables leave a tilted
+  stable one (the finite part of a Pitman-Yor process over the base), divided by their sum;
+* for each context a gamma variable x with shape strength / discount + its tables: given x, a context's dishes are
+  independent, since the weight of T tables is discount^T Gamma(strength / discount + T) up to a constant;
+* each pair's number of tables t, with a chance in proportion to S(c, t) (discount x G(word))^t for its c customers, where
+  S are the generalized Stirling numbers, so all customers are taken out and seated again at once.
+
+The parent's own gamma variable is the one of the sweep before, since its sum over all buckets is known after a sweep.
+The first sweeps are left out, and a pair's predictive probability is averaged over the last.
 
 Counts are over all training texts. Blocks of texts ask buckets of words for counts and numbers, then buckets of pairs for
 counts; buckets of pairs and of words exchange tables and probabilities in each sweep; see ``blocks``. All arrays are
@@ -20,6 +29,7 @@ input are not read. Words are told apart by XXH64.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +49,10 @@ BUCKET_BYTES = 24 << 20
 #: Discounts and strengths of the contexts' restaurants and of the parent.
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 1.0
-SWEEPS, AVERAGED = 2, 2
-EXACT = 48
+#: All sweeps, and the last of them that are averaged; those before are burn-in.
+SWEEPS, AVERAGED = 5, 2
+#: Up to so many customers Stirling numbers come from their recursion.
+EXACT = 1024
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: What stands for a bucket in rows that aren't questions.
 TOTALS, TABLES = -1, -2
@@ -63,21 +75,137 @@ def _unsorted_planes(data: np.ndarray) -> np.ndarray:
     return np.cumsum(_unplanes(data), dtype=np.uint64)
 
 
+def gammaln(x: np.ndarray | float) -> np.ndarray:
+    """Logarithms of the gamma function for positive numbers, by Stirling's series beyond 16."""
+    x = np.asarray(x, np.float64)
+    less = np.zeros(x.shape)
+    for _ in range(16):
+        small = x < 16
+        less += np.where(small, np.log(np.where(small, x, 1)), 0)
+        x = np.where(small, x + 1, x)
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - 1 / 1260 / x**2) / x**2) / x - less
+
+
+@lru_cache(maxsize=2)
+def _log_stirling(discount: float) -> list[np.ndarray]:
+    """For each c up to ``EXACT`` the logarithms of S(c, t) for t from 1 to c: S(c + 1, t) = S(c, t - 1) + (c - discount t) S(c, t)."""
+    out = [np.empty(0), np.zeros(1)]
+    for c in range(1, EXACT):
+        row = np.full(c + 1, -np.inf)
+        row[:-1] = out[-1] + np.log(c - discount * np.arange(1, c + 1))
+        row[1:] = np.logaddexp(row[1:], out[-1])
+        out.append(row)
+    return out
+
+
+#: Terms of the series for more customers, rows of it that are kept, and up to which share of c^discount it is summed.
+TERMS, ROWS, SHARE = 96, 128, 1.25
+
+
+@lru_cache(maxsize=2)
+def _series(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """j, the signed parts of the series' terms, and for t from 1 to ``ROWS`` the logarithms of what else doesn't depend on c."""
+    j = np.arange(1, TERMS + 1)
+    return j, np.where(j % 2, 1, -1) * np.sin(np.pi * np.round(discount * j, 9)) / np.pi, _factors(np.arange(1, ROWS + 1), j, discount)
+
+
+def _factors(t: np.ndarray, j: np.ndarray, discount: float) -> np.ndarray:
+    choose = gammaln(t[:, None] + 1) - gammaln(np.maximum(t[:, None] - j, 0) + 1) - gammaln(j + 1)
+    return np.where(j <= t[:, None], choose + gammaln(1 + discount * j), -np.inf)
+
+
+def _saddle(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithm of the chance that t sizes add up to c, by its saddle point: of t log(1 - (1 - r)^d) - c log r, with q = log(1 - r)."""
+    low, high = np.full(len(t), -60.0), np.full(len(t), -1e-12)
+    for _ in range(60):
+        mid = (low + high) / 2
+        up = t * discount * -np.expm1(mid) * np.exp((discount - 1) * mid) > -c * np.expm1(discount * mid)
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    q = (low + high) / 2
+    r, g = -np.expm1(q), -np.expm1(discount * q)
+    m = discount * r * np.exp((discount - 1) * q) / g  # the mean of one size under the tilt
+    return t * np.log(g) - c * np.log(r) - 0.5 * np.log(2 * np.pi * t * (m + m * (1 - discount) * r * np.exp(-q) - m * m))
+
+
+def _log_stirling_of(c: int, t: np.ndarray, discount: float) -> np.ndarray:
+    """Logarithms of S(c, t) for c beyond ``EXACT``.
+
+    S(c, t) t! discount^t / c! is the chance that t sizes of tables (Sibuya variables) add up to c. Up to ``SHARE`` of
+    c^discount that is summed by its series; beyond, where it is the sum of many, it is taken from its saddle point, set
+    equal to the series where they meet.
+    """
+    j, part, rows = _series(discount)
+    border = int(SHARE * c**discount)
+    few, out = t <= border, np.empty(len(t))
+    by_c = gammaln(c - discount * j) - gammaln(c + 1)
+    sum_of = lambda x: np.log(np.exp((rows[x - 1] if x.max(initial=1) <= ROWS else _factors(x, j, discount)) + by_c) @ part)
+    out[few] = sum_of(t[few])
+    if not few.all():
+        x = np.append(t[~few], border).astype(np.float64)
+        found = _saddle(c, x, discount)
+        out[~few] = found[:-1] + (sum_of(np.array([border]))[0] - found[-1])
+    return out + gammaln(c + 1) - gammaln(t + 1) - t * np.log(discount)
+
+
+def _seat_many(c: int, log_pull: float, discount: float, u: float) -> int:
+    """Tables of a dish with more than ``EXACT`` customers. The chances are log-concave, so the mode is found by halving."""
+    weigh = lambda t: _log_stirling_of(c, t, discount) + t * log_pull
+    first, last = 1, min(ROWS, c - 1)
+    while True:
+        t = np.arange(first, last + 1)
+        w = weigh(t)
+        top = w.max()
+        if (first == 1 or w[0] < top - 40) and (last == c - 1 or w[-1] < top - 40):
+            chance = np.cumsum(np.exp(w - top))
+            return int(t[min(np.searchsorted(chance, u * chance[-1], side="right"), len(t) - 1)])
+        low, high = 1, c - 1
+        while low < high:
+            mid = (low + high) // 2
+            a, b = weigh(np.array([mid, mid + 1]))
+            low, high = (mid + 1, high) if b > a else (low, mid)
+        reach = max(ROWS, 2 * (last - first))
+        first, last = max(1, low - reach), min(c - 1, low + reach)
+
+
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers are seated one by one; ``pull`` is the weight of a new table."""
+    """The number of tables of each dish, with chances in proportion to S(customers, t) ``pull``^t."""
     tables = np.minimum(customers, 1).astype(np.int64)
-    active, done, seated = np.flatnonzero(customers > 1), 1, np.int64(1)
-    while len(active):
-        step = 1 if done < EXACT else max(1, done // 16)
-        n = np.minimum(step, customers[active] - done)
-        new = pull[active] / (pull[active] + seated - discount * tables[active])
-        tables[active] += rng.random(len(active)) < new if step == 1 else rng.binomial(n, new)
-        done += step
-        seated = np.int64(done)
-        active = active[customers[active] > done]
+    draws = rng.random(len(customers))
+    with np.errstate(divide="ignore"):
+        log_pull = np.log(pull)
+    many = np.flatnonzero(customers > 1)
+    many = many[np.argsort(customers[many], kind="stable")]
+    sizes, starts = np.unique(customers[many], return_index=True)
+    known = _log_stirling(discount)
+    for c, x, y in zip(sizes.tolist(), starts.tolist(), np.append(starts, len(many))[1:].tolist(), strict=True):
+        if c > EXACT:
+            tables[many[x:y]] = [_seat_many(c, log_pull[i], discount, draws[i]) for i in many[x:y]]
+            continue
+        step = max(1, (1 << 20) // c)
+        for at in range(x, y, step):
+            dish = many[at : min(y, at + step)]
+            w = known[c] + np.arange(c) * log_pull[dish, None]
+            chance = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            tables[dish] = np.minimum(1 + (chance <= draws[dish, None] * chance[:, -1:]).sum(axis=1), c)
     return tables
 
 
+def tilted_stable(n: int, scale: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Variables whose Laplace transform is exp(-scale ((1 + s)^discount - 1)): stable ones, kept with a chance of exp(-value)."""
+    pieces = max(1, int(np.ceil(scale)))
+    out = np.zeros(n)
+    for _ in range(pieces):
+        left = np.arange(n)
+        while len(left):
+            angle, e = np.pi * (1 - rng.random(len(left))), rng.exponential(size=len(left))
+            value = np.sin(discount * angle) / np.sin(angle) ** (1 / discount) * (np.sin((1 - discount) * angle) / e) ** ((1 - discount) / discount)
+            value *= (scale / pieces) ** (1 / discount)
+            good = rng.random(len(left)) < np.exp(-value)
+            out[left[good]] += value[good]
+            left = left[~good]
+    return out
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as blocks: word numbers within the block, the words' hashes in order, and which texts teach."""
     task = TaskContext.get().partitionId() << 32
@@ -274,9 +402,9 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
             add = lambda at, v: np.bincount(at, v, minlength=size).astype(np.int64)
             guests, own, seated = add(self.w, tables), add(self.u, tables), add(self.u, self.count)
             out = [{"block": self.bucket, "bucket": b, "data": pack(number=_sorted_planes(self.number[x:y]), guests=_planes(guests[x:y]), tables=_planes(own[x:y]), customers=_planes(seated[x:y]))} for b, x, y in _cuts(self.place, n)]
-            return [*out, {"block": self.bucket, "bucket": TABLES - k, "data": pack(tables=_planes(tables))}]
+            return [*out, {"block": self.bucket, "bucket": TABLES - k, "data": pack(tables=_planes(tables))}] if k in kept_rounds else out
 
-    def seat_parent(k: int):
+    def seat_parent(k: int, rest: float):
         def run(t: pa.Table) -> pa.Table:
             asked = [unpack(d) for d in t.column("data").to_pylist()]
             numbers = [_unsorted_planes(a["number"]) for a in asked]
@@ -286,25 +414,49 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
                 sums[key] = np.zeros(len(names), np.int64)
                 np.add.at(sums[key], of, np.concatenate([_unplanes(a[key]) for a in asked]).astype(np.int64))
             rng = np.random.default_rng([seed, k, t.column("bucket")[0].as_py()])
-            pull = np.full(len(names), (PARENT_STRENGTH + PARENT_DISCOUNT * n_known) / (n_known + 1))
-            upper = seat(sums["guests"], pull, PARENT_DISCOUNT, rng)
+            scale = rest / (n_known + 1)
+            upper = seat(sums["guests"], np.full(len(names), PARENT_DISCOUNT * scale), PARENT_DISCOUNT, rng)
             cuts = np.cumsum([0, *map(len, numbers)])
             parts = [of[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-            made = [{"guests": _planes(sums["guests"][p]), "upper": _planes(upper[p]), "tables": _planes(sums["tables"][p]), "customers": _planes(sums["customers"][p])} for p in parts]
-            return _with_totals(t, made, _total_row(guests=sums["guests"].sum(), upper=upper.sum()))
+            made: list[dict[str, np.ndarray]] = [{} for _ in parts]
+            mass = np.zeros(len(names))
+            if k < sweeps:  # for the next sweep
+                taught = np.flatnonzero(sums["guests"])
+                mass[taught] = rng.gamma(sums["guests"][taught] - PARENT_DISCOUNT * upper[taught]) + tilted_stable(len(taught), scale, PARENT_DISCOUNT, rng)
+                x = rng.gamma(STRENGTH / DISCOUNT + sums["tables"])
+                made = [{"mass": mass[p].astype(np.float32), "x": x[p].astype(np.float32)} for p in parts]
+            if k in kept_rounds:
+                planes = {"guests": sums["guests"], "upper": upper, "tables": sums["tables"], "customers": sums["customers"]}
+                made = [m | {key: _planes(v[p]) for key, v in planes.items()} for m, p in zip(made, parts, strict=True)]
+            return _with_totals(t, made, _total_row(guests=sums["guests"].sum(), upper=upper.sum(), mass=mass.sum()))
 
         return run
 
-    def exchange(asked: DataFrame, k: int) -> tuple[DataFrame, dict[str, float]]:
+    kept_rounds = range(sweeps - averaged + 1, sweeps + 1)
+    draw = np.random.default_rng([seed, 0x9A7E])
+    held: list[DataFrame] = []
+
+    def exchange(asked: DataFrame, k: int, rest: float) -> tuple[DataFrame, dict[str, float]]:
         """The rows for a round's buckets of pairs: answers, filed under k * n and on, and tables. And the parent's totals."""
         asked = scratch.save(asked)
-        given = scratch.save(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(seat_parent(k), QUESTION))
+        while held:  # the round before has been read
+            scratch.drop(held.pop())
+        given = scratch.save(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(seat_parent(k, rest), QUESTION))
+        sums = _sum_totals(given)
+        # What no known word has: the share of the one word more, and the variable for the next round.
+        sums["mass"] = sums.get("mass", 0.0) + float(tilted_stable(1, rest / (n_known + 1), PARENT_DISCOUNT, draw)[0])
+        sums["rest"] = float(draw.gamma(PARENT_STRENGTH / PARENT_DISCOUNT + sums.get("upper", 0.0)))
+        if k not in kept_rounds:
+            held.extend((asked, given))
         back = given.where(F.col("block") != TOTALS).select("block", (F.col("bucket") + k * n).cast("int").alias("bucket"), "data")
-        return back.unionAll(asked.where("bucket < 0")), _sum_totals(given)
+        return back.unionAll(asked.where("bucket < 0")), sums
+
+    def given_of(answers: list[tuple[int, dict[str, np.ndarray]]], k: int) -> list[dict[str, np.ndarray]]:
+        return [x for b, x in answers if k * n <= b < (k + 1) * n]
 
     def state(r: Restaurants, answers: list[tuple[int, dict[str, np.ndarray]]], k: int, sums: dict[str, float]) -> tuple[np.ndarray, ...]:
         """For each pair after round k: the parent's probability of its word, its context's tables and customers, its own tables."""
-        got = [x for b, x in answers if k * n <= b < (k + 1) * n]
+        got = given_of(answers, k)
         guests, upper, tables, customers = (np.concatenate([_unplanes(x[key]) for x in got]).astype(np.float64) for key in ("guests", "upper", "tables", "customers"))
         spare = (PARENT_STRENGTH + PARENT_DISCOUNT * sums["upper"]) / (n_known + 1)
         parent = (guests - PARENT_DISCOUNT * upper + spare) / (PARENT_STRENGTH + sums["guests"])
@@ -317,7 +469,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
                 r = Restaurants(pa.Table.from_batches([batch.slice(i, 1)]))
                 yield from question_batches(r.asks(np.minimum(r.count, 1), 0))
 
-    now, sums = exchange(pairs.df.select("block", "data").mapInArrow(first_asks, QUESTION), 0)
+    now, sums = exchange(pairs.df.select("block", "data").mapInArrow(first_asks, QUESTION), 0, PARENT_STRENGTH / PARENT_DISCOUNT + n_known)
     kept: list[tuple[int, DataFrame, dict[str, float]]] = []
 
     def sweep(k: int, before: dict[str, float]):
@@ -325,15 +477,16 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
             if not t.num_rows:
                 return question_table([])
             r = Restaurants(t.slice(0, 1))
-            parent, tables, _, own = state(r, _by_bucket(answers), k - 1, before)
+            got = given_of(_by_bucket(answers), k - 1)
+            mass, x = (np.concatenate([g[key] for g in got]).astype(np.float64) for key in ("mass", "x"))
             rng = np.random.default_rng([seed, k, r.bucket, 1])
-            return question_table(r.asks(seat(r.count, (STRENGTH + DISCOUNT * np.maximum(tables - own, 0)) * parent, DISCOUNT, rng), k))
+            return question_table(r.asks(seat(r.count, DISCOUNT * x[r.u] * mass[r.w] / before["mass"], DISCOUNT, rng), k))
 
         return run
 
     for k in range(1, sweeps + 1):
-        now, sums = exchange(pairs.with_answers(now, sweep(k, sums), QUESTION), k)
-        if k > sweeps - averaged:
+        now, sums = exchange(pairs.with_answers(now, sweep(k, sums), QUESTION), k, sums["rest"])
+        if k in kept_rounds:
             kept.append((k, now, sums))
 
     # 4. Probabilities of pairs, averaged over the kept sweeps, go back to the blocks that asked.

@@ -200,6 +200,37 @@ def test_op5_cases(spark):
     assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and t[3] < 1000 < t[4] * 1000
 
 
+def test_op5_tables_have_their_posterior():
+    """A context with 200 tables of other dishes: tables of one dish, given in turn the context's variable, against exact chances."""
+    rng, d = np.random.default_rng(1), pitman_yor.DISCOUNT
+    for c in (2, 48, 200, 600):
+        stirling = [1.0]  # S(n, t) for t from 1 on, scaled
+        for n in range(1, c):
+            stirling = [(stirling[t - 2] if t > 1 else 0.0) + ((n - d * t) * stirling[t - 1] if t <= n else 0.0) for t in range(1, n + 2)]
+            stirling = [s / max(stirling) for s in stirling]
+        logs = [(math.log(s) if s else -math.inf) + sum(math.log(0.01 * (1.0 + d * (200 + k))) for k in range(t)) for t, s in enumerate(stirling, 1)]
+        chance = [math.exp(x - max(logs)) for x in logs]
+        want = sum(t * p for t, p in enumerate(chance, 1)) / sum(chance)
+        t, means = np.ones(4000, np.int64), []
+        for k in range(12):
+            t = pitman_yor.seat(np.full(len(t), c), d * 0.01 * rng.gamma(1.0 / d + 200 + t), d, rng)
+            means += [t.mean()] if k >= 4 else []
+        assert np.mean(means) == pytest.approx(want, abs=0.06)
+
+
+def test_op5_stirling_numbers_of_many_customers():
+    c = pitman_yor.EXACT
+    t = np.arange(1, c)
+    off = pitman_yor._log_stirling_of(c, t, 0.8) - pitman_yor._log_stirling(0.8)[c][:-1]
+    assert np.abs(off[:300]).max() < 1e-9 and np.abs(np.diff(off)).max() < 0.05
+    assert np.isfinite(pitman_yor._log_stirling_of(100_000, np.array([1, 9000, 30_000, 99_999]), 0.8)).all()
+
+
+def test_op5_tilted_stable():
+    v = pitman_yor.tilted_stable(100_000, 1.7, 0.7, np.random.default_rng(2))
+    assert np.exp(-v).mean() == pytest.approx(math.exp(-1.7 * (2**0.7 - 1)), rel=0.01) and v.mean() == pytest.approx(1.7 * 0.7, rel=0.02)
+
+
 def test_op6(spark, sf):
     with duckdb.connect() as c:
         source = dict(c.sql(f"SELECT page_id, html FROM '{sf}/pages.parquet'").fetchall())
