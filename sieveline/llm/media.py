@@ -1,7 +1,7 @@
 """Media columns: texts' bytes as WAV audio, its spectra, and fingerprints of pairs of spectral peaks.
 
 Audio is 8-bit mono PCM, written and read by the wave module, so each byte of a payload is one sample. Spectra are
-short-time Fourier transforms with a Hann window, worked through in blocks of frames. A frame's peak in a band is its
+short-time Fourier transforms with a Hann window, worked through in blocks of frames; silence fills the last frame. A frame's peak in a band is its
 strongest bin there if no weaker than in the frames beside it; each peak pairs with the next few of the peaks in time,
 and the two frequencies and the time between them make a code. Codes are stored with the frame at which they start.
 
@@ -59,8 +59,8 @@ def from_wav(stored: bytes) -> bytes:
 def band_peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """For each frame and band the strongest bin and its magnitude."""
     x = np.frombuffer(samples, np.uint8)
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.full(WINDOW - len(x), 128, np.uint8)])
+    rest = WINDOW - len(x) if len(x) < WINDOW else -(len(x) - WINDOW) % HOP
+    x = np.concatenate([x, np.full(rest, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     hann = np.hanning(WINDOW).astype(np.float32)
     bins = np.empty((len(frames), len(BANDS) - 1), np.int16)

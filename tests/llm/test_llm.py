@@ -102,6 +102,17 @@ def test_op2_cases(spark):
         media.BLOCK = block
 
 
+def test_op2_frames_reach_the_last_sample():
+    rnd = random.Random(6)
+    for n in (192, 384, 960, 1000, 192 * 9):
+        raw = bytes(rnd.randrange(256) for _ in range(n))
+        frames = len(media.band_peaks(raw)[0])
+        assert (frames - 1) * media.HOP < n <= (frames - 1) * media.HOP + media.WINDOW
+        changed = raw[: n - 64] + bytes(rnd.randrange(256) for _ in range(64))
+        a, b = media.band_peaks(raw), media.band_peaks(changed)
+        assert not np.array_equal(a[1][-1], b[1][-1])
+
+
 def brute_repeats(docs):
     seen, out = {}, {}
     for i, t in sorted((i, t or "") for i, t in docs):
