@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and strings that a primed zstandard compressor finds new.
 
 Base spans (kinds assign, access, hex) come from fixed patterns. The method adds kind novel: a run of 16 or more
-characters of keys and encodings near a sensitive word is a candidate. It is compressed together with the code around
+characters of keys and encodings that starts near a sensitive word is a candidate. It is compressed together with the code around
 it by a compressor whose dictionary holds identifiers and code words; what it adds to the compressed size, as a share
 of its length, is its novelty. Natural words and identifiers are cheap for the dictionary and the context; keys aren't.
 
@@ -35,7 +35,7 @@ _SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_-]?key|ac
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Parts of the sensitive words, of which one is in any of them.
 _SENSITIVE_PARTS = ("passw", "passphrase", "secret", "token", "key", "credential", "authorization", "bearer", "signature")
-NEAR, AROUND = 48, 160
+NEAR, AROUND, LEAST_CANDIDATE = 48, 160, 16
 LEAST_NOVELTY = 0.55
 #: Identifiers and code words that the compressor knows beforehand.
 DICTIONARY = (
@@ -60,7 +60,12 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def of(self, text: str, start: int, end: int) -> float:
-        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+        """Other copies of the string, or of a long part of it beside an equals sign, are blanked in the surroundings."""
+        whole, far = text[start:end], AROUND + end - start
+        before, after = text[max(0, start - far) : start], text[end : end + far]
+        for part in (whole, *(p for p in whole.split("=") if len(p) >= LEAST_CANDIDATE)):
+            before, after = before.replace(part, " " * len(part)), after.replace(part, " " * len(part))
+        before, after = before[-AROUND:], after[:AROUND]
         size = lambda s: len(self.compressor.compress(s.encode()))
         return (size(before + after + text[start:end]) - size(before + after)) / max(1, len(text[start:end].encode()))
 
@@ -91,11 +96,11 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     starts = [s for s, _, _ in base]
     reach = list(accumulate((e for _, _, e in base), max))
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(taken, word.end()), min(len(text), word.end() + NEAR)):
+        for m in _CANDIDATE.finditer(text, max(taken, word.end()), min(len(text), word.end() + NEAR + LEAST_CANDIDATE)):
             start, end = m.start(), _CANDIDATE.match(text, m.start()).end()
             taken = max(taken, end)
             before = bisect_left(starts, end)
-            if (before and reach[before - 1] > start) or not re.search(r"[0-9]", m[0]) or not re.search(r"[A-Za-z]", m[0]):
+            if (before and reach[before - 1] > start) or not re.search(r"[0-9]", text[start:end]) or not re.search(r"[A-Za-z]", text[start:end]):
                 continue
             if _novelty[0].of(text, start, end) >= LEAST_NOVELTY:
                 found.append((start, 3, end))

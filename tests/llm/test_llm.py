@@ -387,6 +387,19 @@ def test_op9_cases(spark):
     assert secret_scan.scan(odd(spark)).count() == len(ODD) + 2
 
 
+def test_op9_repeated_and_far_candidates():
+    key = "q8Zr2LxV9tPw4KbN7sYd3Hf6uJc5mGe1RaTqXo0W"
+    for gap in ("", " x" * 58, " x" * 65, " x" * 75):
+        text = f"Authorization: Bearer {key}{gap}\nAuthorization: Bearer {key}\n"
+        assert [text[s:e] for s, _, e in secret_scan.spans(text)[1]] == [key, key]
+    text = f"access_key={key}\nthe credential {key}"
+    assert len(secret_scan.spans(text)[1]) == 2
+    for far, n in ((33, 1), (40, 1), (48, 1), (49, 0)):
+        assert len(secret_scan.spans("credential" + " " * far + key)[1]) == n
+    late = "QwZrTyPlKmNbVxSgHjFd" + "7" + key  # its first digit is past the reach of the word
+    assert len(secret_scan.spans("credential" + " " * 40 + late)[1]) == 1
+
+
 def test_op9_long_runs_in_linear_time():
     rnd = random.Random(4)
     run = "".join(rnd.choice("GHJKLMNPghjklmnp01234+/") for _ in range(400_000))
