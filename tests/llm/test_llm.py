@@ -424,6 +424,31 @@ def test_op10_cases(spark, sf):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.overlaps(empty(spark), bench).count() == 0
 
 
+def test_op10_any_two_substitutions_and_short_items(spark):
+    """Against a join without seeds."""
+    rnd = random.Random(12)
+    items = {k: [f"w{k}x{i}" for i in range(n)] for k, n in enumerate((12, 16, 1, 5, 9, 11))}
+    texts = [[f"z{i}" if i in (a, b) else w for i, w in enumerate(items[0])] for a in range(12) for b in range(a)]
+    for _ in range(150):
+        gone = rnd.sample(range(16), rnd.randint(2, 6))
+        texts.append(["p", "q", *(f"z{i}" if i in gone else w for i, w in enumerate(items[1])), "r"])
+    texts += [["a", *items[k], "b"] for k in (2, 3, 4, 5)] + [items[k] for k in (2, 3, 4, 5)] + [items[5][:-1], ["a", *items[4][:4], "no", *items[4][5:]], items[3][::-1]]
+
+    def best(t, b):
+        size, found = min(12, len(b)), 0
+        for diag in range(1 - len(b), len(t)):
+            eq = [t[p] == b[p - diag] for p in range(max(0, diag), min(len(t), diag + len(b)))]
+            found = max([found, *(sum(eq[i : i + size]) for i in range(len(eq) - size + 1))])
+        return found if found >= (10 if size == 12 else size) else 0
+
+    want = {(i, k, best(t, b)) for i, t in enumerate(texts) for k, b in items.items() if best(t, b)}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in items.items()], "item_id long, text string")
+    for n in (1 << 20, 0):
+        assert {(r.doc_id, r.item_id, r.best_window) for r in decontaminate.overlaps(docs, bench, broadcast_bytes=n).collect()} == want
+    assert {i for i, k, _ in want if k == 0} == set(range(66))
+
+
 def test_near_copies(spark):
     rnd = random.Random(8)
     words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(500)]
