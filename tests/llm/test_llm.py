@@ -268,6 +268,22 @@ def test_op6_cases(spark):
     assert html_text.lines("<p>" * 3000 + "deep")[-1][1] == "deep"
 
 
+def test_op6_long_pages():
+    """Exact common subsequences against the whole table, and template lines that are far shifted."""
+    rnd = random.Random(13)
+    for _ in range(200):
+        a, b = ([rnd.choice("abcdef") for _ in range(rnd.randint(0, 30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got, rest = sorted(html_text.shared(a, b)), iter(b)
+        assert len(got) == best[-1][-1] and all(a[i] in rest for i in got)
+    page = lambda k, n: [("", f"own {k} {i}") for i in range(n)] + [("", f"menu {i}") for i in range(50)] + [("", f"end {k}")]
+    for n, m in ((3000, 100), (100, 3000), (3000, 3900)):
+        assert html_text.main_text(page(1, n), page(2, m)) == " ".join([*(f"own 1 {i}" for i in range(n)), "end 1"])
+
+
 def test_op7(spark, sf, docs):
     got = {r.doc_id: r for r in registry.QUERIES["op7_token_counts"](spark, sf).collect()}
     assert {i: r.n_tokens for i, r in got.items()} == {i: len(tokens(t)) for i, t, *_ in docs}
