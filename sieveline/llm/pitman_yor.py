@@ -15,8 +15,8 @@ more. A sweep of the Gibbs sampler draws four things in turn, each given the oth
 The parent's own gamma variable is the one of the sweep before, since its sum over all buckets is known after a sweep.
 The first sweeps are left out, and a pair's predictive probability is averaged over the last.
 
-Counts are over all training texts. Blocks of texts ask buckets of words for counts and numbers, then buckets of pairs for
-counts; buckets of pairs and of words exchange tables and probabilities in each sweep; see ``blocks``. All arrays are
+Counts are over all training texts. Blocks of texts ask buckets of words for counts and numbers, then buckets of pairs, which
+merge them in parts, for counts; buckets of pairs and of words exchange tables and probabilities in each sweep; see ``blocks``. All arrays are
 keyed by hashes of words or pairs and merged within a block before they move, so a word that is a third of the corpus
 costs each block one entry.
 
@@ -46,6 +46,8 @@ from .langid import fold
 BLOCK_BYTES = 12 << 20
 #: Bytes of text for each bucket.
 BUCKET_BYTES = 24 << 20
+#: Parts of a bucket of pairs, which are merged one after the other.
+PARTS = 8
 #: Discounts and strengths of the contexts' restaurants and of the parent.
 DISCOUNT, STRENGTH = 0.8, 1.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.7, 1.0
@@ -59,12 +61,17 @@ TOTALS, TABLES = -1, -2
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """Integers as bytes, all lowest bytes first."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+    """Integers as bytes: how many bytes each has, then all lowest bytes, and so on."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    rows = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.concatenate([[np.uint8(width)], rows[:, :width].T.ravel()])
 
 
 def _unplanes(data: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(data.reshape(8, -1).T).view("<u8").ravel()
+    width = int(data[0])
+    out = np.zeros(((len(data) - 1) // width, 8), np.uint8)
+    out[:, :width] = data[1:].reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
 def _sorted_planes(values: np.ndarray) -> np.ndarray:
@@ -75,6 +82,19 @@ def _unsorted_planes(data: np.ndarray) -> np.ndarray:
     return np.cumsum(_unplanes(data), dtype=np.uint64)
 
 
+def _steps(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Differences of values that rise within runs of the given lengths; a run's first value is kept."""
+    out = np.diff(values, prepend=np.zeros(1, values.dtype))
+    first = (np.cumsum(lengths) - lengths)[lengths > 0]
+    out[first] = values[first]
+    return out
+
+
+def _unsteps(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    total = np.concatenate([np.zeros(1, steps.dtype), np.cumsum(steps, dtype=steps.dtype)])
+    return total[1:] - np.repeat(total[np.cumsum(lengths) - lengths], lengths)
+
+
 def gammaln(x: np.ndarray | float) -> np.ndarray:
     """Logarithms of the gamma function for positive numbers, by Stirling's series beyond 16."""
     x = np.asarray(x, np.float64)
@@ -173,7 +193,9 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.rando
     draws = rng.random(len(customers))
     with np.errstate(divide="ignore"):
         log_pull = np.log(pull)
-    many = np.flatnonzero(customers > 1)
+    two = np.flatnonzero(customers == 2)
+    tables[two] += draws[two] * (1 - discount + pull[two]) >= 1 - discount
+    many = np.flatnonzero(customers > 2)
     many = many[np.argsort(customers[many], kind="stable")]
     sizes, starts = np.unique(customers[many], return_index=True)
     known = _log_stirling(discount)
@@ -258,23 +280,36 @@ class _Block:
             setattr(self, name, values)
         self.taught = np.repeat(self.learn.astype(bool), self.sizes)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(contexts, words, the pair of each token), numbered within the block and sorted."""
+    def pairs(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(contexts, words, the pair of each token), by the words' numbers and sorted."""
         ends = np.cumsum(self.sizes) - 1
         end = np.uint32(np.searchsorted(self.words, END))
-        context = np.concatenate([[end], self.tokens[:-1]]).astype(np.int64)  # a text's first word follows an end
+        context = np.concatenate([[end], self.tokens[:-1]])  # a text's first word follows an end
         assert not len(ends) or self.tokens[ends[-1]] == end
         n = len(self.words)
-        key, of = np.unique(context * n + self.tokens, return_inverse=True)
-        return key // n, key % n, of
+        by_number = np.argsort(number)
+        rank = np.empty(n, np.int64)
+        rank[by_number] = np.arange(n)
+        key, of = np.unique(rank[context] * n + rank[self.tokens], return_inverse=True)
+        return number[by_number[key // n]], number[by_number[key % n]], of
 
 
 def _word_bucket(words: np.ndarray, n: int) -> np.ndarray:
     return ((words >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _pair_bucket(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-    return (mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(w)) % np.uint64(n)).astype(np.int64)
+def _pair_parts(u: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """The part of each pair: bucket * PARTS + the part within the bucket."""
+    h = mix(u * np.uint64(0x9E3779B97F4A7C15) + mix(w))
+    part = _word_bucket(h, n) * PARTS + (h % np.uint64(PARTS)).astype(np.int64)
+    return part.astype(np.uint16) if n * PARTS <= 1 << 16 else part
+
+
+def _by_pair(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The order of pairs."""
+    if max(u.max(initial=0), w.max(initial=0)) < 1 << 32:
+        return np.argsort(u << np.uint64(32) | w)
+    return np.lexsort((w, u))
 
 
 def _cuts(bucket: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -345,10 +380,10 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
         return np.concatenate([_unsorted_planes(x["number"]) for x in got]), np.concatenate([_unplanes(x["count"]) for x in got]).astype(np.int64)
 
     def pair_order(b: _Block, number: np.ndarray) -> tuple[np.ndarray, ...]:
-        u, w, of = b.pairs()
-        bucket = _pair_bucket(number[u], number[w], n)
-        order = np.lexsort((number[w], number[u], bucket))
-        return number[u][order], number[w][order], bucket[order], order, of
+        u, w, of = b.pairs(number)
+        part = _pair_parts(u, w, n)
+        order = np.argsort(part, kind="stable")
+        return u[order], w[order], part[order].astype(np.int64), order, of
 
     # 2. Pairs: their counts; a bucket keeps which of its pairs each block asked for.
     def ask_pairs(t: pa.Table, answers: pa.Table) -> pa.Table:
@@ -356,26 +391,43 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
             return question_table([])
         b = _Block(t.slice(0, 1))
         number, _ = word_answers(answers)
-        u, w, bucket, order, of = pair_order(b, number)
+        u, w, part, order, of = pair_order(b, number)
         count = np.bincount(of[b.taught], minlength=len(u))[order]
-        return question_table([{"block": b.number, "bucket": k, "data": pack(u=_sorted_planes(u[x:y]), w=_planes(w[x:y]), count=_planes(count[x:y]))} for k, x, y in _cuts(bucket, n)])
+        at = np.searchsorted(part, np.arange(n * PARTS + 1))
+        rows = []
+        for k in np.flatnonzero(np.diff(at[::PARTS])).tolist():
+            cuts = at[k * PARTS : (k + 1) * PARTS + 1].tolist()
+            pieces = {f"{name}{p}": code(v[x:y]) for p, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) for name, code, v in (("u", _sorted_planes, u), ("w", _planes, w), ("count", _planes, count))}
+            rows.append({"block": b.number, "bucket": k, "data": pack(**pieces)})
+        return question_table(rows)
 
     def merge_pairs(t: pa.Table) -> pa.Table:
         asked = [unpack(d) for d in t.column("data").to_pylist()]
-        us = [_unsorted_planes(a["u"]) for a in asked]
-        u, w = np.concatenate(us), np.concatenate([_unplanes(a["w"]) for a in asked])
-        count = np.concatenate([_unplanes(a["count"]) for a in asked]).astype(np.int64)
-        order = np.lexsort((w, u))
-        new = np.ones(len(order), bool)
-        new[1:] = (u[order][1:] != u[order][:-1]) | (w[order][1:] != w[order][:-1])
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        summed = np.zeros(int(new.sum()), np.int64)
-        np.add.at(summed, of, count)
-        head, lengths = order[new], np.array([len(x) for x in us], np.int64)
-        steps = np.diff(of, prepend=0)
-        steps[np.cumsum(lengths)[:-1]] = of[np.cumsum(lengths)[:-1]]
-        data = pack(u=_sorted_planes(u[head]), w=_planes(w[head]), count=_planes(summed), blocks=np.array(t.column("block").to_pylist(), np.int64), lengths=lengths, steps=_planes(steps))
+        merged: dict[str, list[np.ndarray]] = {k: [] for k in ("u", "w", "count", "steps", "lengths")}
+        known = 0
+        for p in range(PARTS):
+            us = [_unsorted_planes(a[f"u{p}"]) for a in asked]
+            lengths = np.array([len(x) for x in us], np.int64)
+            u, w = np.concatenate(us), np.concatenate([_unplanes(a[f"w{p}"]) for a in asked])
+            order = _by_pair(u, w)
+            new = np.ones(len(order), bool)
+            new[1:] = (u[order[1:]] != u[order[:-1]]) | (w[order[1:]] != w[order[:-1]])
+            of = np.empty(len(order), np.int64)
+            of[order] = np.cumsum(new) - 1
+            count = np.concatenate([_unplanes(a[f"count{p}"]) for a in asked]).astype(np.float64)
+            head = order[new]
+            for name, v in (("u", u[head]), ("w", w[head]), ("count", np.bincount(of, count, minlength=len(head)).astype(np.int64)), ("steps", _steps(of + known, lengths)), ("lengths", lengths)):
+                merged[name].append(v)
+            known += len(head)
+        u, w, count, steps, lengths = (np.concatenate(v) for v in merged.values())
+        number, of = np.unique(np.concatenate([u, w]), return_inverse=True)
+        place = (number % np.uint64(n)).astype(np.int64)
+        by_place = np.argsort(place, kind="stable")
+        where = np.empty(len(by_place), np.int64)
+        where[by_place] = np.arange(len(by_place))
+        words = np.bincount(place, minlength=n)
+        planes = {"number": _steps(number[by_place] // np.uint64(n), words), "words": words, "u": where[of[: len(u)]], "w": where[of[len(u) :]], "count": count, "steps": steps, "lengths": lengths}
+        data = pack(blocks=np.array(t.column("block").to_pylist(), np.int64), **{k: _planes(v) for k, v in planes.items()})
         return pa.Table.from_pydict({"block": pa.array([t.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
     pairs = Blocks(scratch, blocks.with_answers(to_blocks, ask_pairs, QUESTION).groupBy("bucket").applyInArrow(merge_pairs, "block long, data binary"))
@@ -387,14 +439,9 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
         def __init__(self, row: pa.Table) -> None:
             self.bucket = row.column("block")[0].as_py()
             self.data = unpack(row.column("data")[0].as_py())
-            self.count = _unplanes(self.data["count"]).astype(np.int64)
-            number, of = np.unique(np.concatenate([_unsorted_planes(self.data["u"]), _unplanes(self.data["w"])]), return_inverse=True)
-            place = number % np.uint64(n)
-            order = np.lexsort((number, place))
-            where = np.empty(len(order), np.int64)
-            where[order] = np.arange(len(order))
-            self.number, self.place = number[order], place[order].astype(np.int64)
-            self.u, self.w = where[of[: len(self.count)]], where[of[len(self.count) :]]
+            self.count, self.u, self.w, words = (_unplanes(self.data[k]).astype(np.int64) for k in ("count", "u", "w", "words"))
+            self.place = np.repeat(np.arange(n), words)
+            self.number = _unsteps(_unplanes(self.data["number"]), words) * np.uint64(n) + self.place.astype(np.uint64)
 
         def asks(self, tables: np.ndarray, k: int) -> list[dict]:
             """Questions with the tables of round k, and the row that keeps them."""
@@ -501,10 +548,14 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
             parent, tables, customers, own = state(r, got, k, s)
             mean += (np.maximum(r.count - DISCOUNT * own, 0) + (STRENGTH + DISCOUNT * tables) * parent) / (STRENGTH + customers)
         logs = np.log10(mean / len(rounds)).astype(np.float32)
-        out, at, steps = [], 0, _unplanes(r.data["steps"]).astype(np.int64)
-        for number, size in zip(r.data["blocks"].tolist(), r.data["lengths"].tolist(), strict=True):
-            out.append({"block": number, "bucket": n + r.bucket, "data": pack(logs=logs[np.cumsum(steps[at : at + size])])})
-            at += size
+        lengths = _unplanes(r.data["lengths"]).astype(np.int64)
+        asked = logs[_unsteps(_unplanes(r.data["steps"]).astype(np.int64), lengths)]
+        ends = np.cumsum(lengths).reshape(PARTS, -1)
+        begins = ends - lengths.reshape(PARTS, -1)
+        out = []
+        for k, number in enumerate(r.data["blocks"].tolist()):
+            own = np.concatenate([asked[begins[p, k] : ends[p, k]] for p in range(PARTS)])
+            out.append({"block": number, "bucket": n + r.bucket, "data": pack(logs=own)})
         return question_table(out)
 
     every = kept[0][1]
