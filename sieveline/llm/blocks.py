@@ -9,6 +9,7 @@ numbers grow with the input.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,6 +43,15 @@ def unpack(data: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system, so that what waits between groups is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def mix(keys: np.ndarray) -> np.ndarray:
     """A 64-bit mix of integer keys."""
     x = keys.astype(np.uint64)
@@ -67,7 +77,14 @@ class Blocks:
 
     def with_answers(self, answers: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
         """Each block with the answers to it: ``work`` gets both as Arrow tables."""
-        return self.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
+
+        def run(block: pa.Table, given: pa.Table) -> pa.Table:
+            try:
+                return work(block, given)
+            finally:
+                release()
+
+        return self.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def questions(block: int, bucket: np.ndarray, n: int, **arrays: np.ndarray) -> tuple[list[dict], np.ndarray]:
@@ -101,6 +118,18 @@ def question_table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, _ARROW)
 
 
+def of_bucket(asked: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """All rows of each bucket at once."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return work(t)
+        finally:
+            release()
+
+    return asked.groupBy("bucket").applyInArrow(run, schema)
+
+
 def answer(asked: DataFrame, work: Callable[[list[dict[str, np.ndarray]]], list[dict[str, np.ndarray]]]) -> DataFrame:
     """Rows (block, bucket, data): in each bucket ``work`` answers all that blocks ask it, in their order."""
 
@@ -109,7 +138,7 @@ def answer(asked: DataFrame, work: Callable[[list[dict[str, np.ndarray]]], list[
         made = work([unpack(d) for d in t.column("data").to_pylist()])
         return pa.Table.from_arrays([t.column("block"), t.column("bucket"), pa.array([pack(**m) for m in made], pa.binary())], schema=_ARROW)
 
-    return asked.groupBy("bucket").applyInArrow(run, QUESTION)
+    return of_bucket(asked, run, QUESTION)
 
 
 def total(df: DataFrame, column: str) -> int:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import QUESTION, Blocks, answer, mix, pack, question_batches, question_table, total, unpack
+from .blocks import QUESTION, Blocks, mix, of_bucket, pack, question_batches, question_table, release, total, unpack
 from .common import Scratch, slices, table
 from .langid import fold
 
@@ -252,6 +252,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in (ids, learn, sizes, words):
             x.clear()
         held, made = 0, made + 1
+        release()
         return row
 
     for batch in batches:
@@ -271,6 +272,17 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and which of them each is. Takes less memory than numpy's own."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
+    return keys[new], of
+
+
 class _Block:
     """A block's arrays, and the pairs of words in it."""
 
@@ -284,13 +296,17 @@ class _Block:
         """(contexts, words, the pair of each token), by the words' numbers and sorted."""
         ends = np.cumsum(self.sizes) - 1
         end = np.uint32(np.searchsorted(self.words, END))
-        context = np.concatenate([[end], self.tokens[:-1]])  # a text's first word follows an end
         assert not len(ends) or self.tokens[ends[-1]] == end
         n = len(self.words)
         by_number = np.argsort(number)
         rank = np.empty(n, np.int64)
         rank[by_number] = np.arange(n)
-        key, of = np.unique(rank[context] * n + rank[self.tokens], return_inverse=True)
+        key = rank[self.tokens]
+        context = np.roll(key, 1)  # a text's first word follows an end
+        context[:1] = rank[end]
+        key += np.multiply(context, n, out=context)
+        del context
+        key, of = _numbered(key)
         return number[by_number[key // n]], number[by_number[key % n]], of
 
 
@@ -370,7 +386,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
         parts = [of[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
         return _with_totals(t, [{"number": _sorted_planes(number[p]), "count": _planes(count[p])} for p in parts], _total_row(tokens=count.sum(), known=np.count_nonzero(count)))
 
-    words = scratch.save(blocks.df.select("block", "data").mapInArrow(ask_words, QUESTION).groupBy("bucket").applyInArrow(number_words, QUESTION))
+    words = scratch.save(of_bucket(blocks.df.select("block", "data").mapInArrow(ask_words, QUESTION), number_words, QUESTION))
     totals = _sum_totals(words)
     n_train, n_known = int(totals.get("tokens", 0)), int(totals.get("known", 0))
     to_blocks = words.where(F.col("block") != TOTALS)
@@ -420,17 +436,18 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
                 merged[name].append(v)
             known += len(head)
         u, w, count, steps, lengths = (np.concatenate(v) for v in merged.values())
-        number, of = np.unique(np.concatenate([u, w]), return_inverse=True)
+        del asked, us, order, of
+        number, of = _numbered(np.concatenate([u, w]))
         place = (number % np.uint64(n)).astype(np.int64)
         by_place = np.argsort(place, kind="stable")
-        where = np.empty(len(by_place), np.int64)
-        where[by_place] = np.arange(len(by_place))
+        where = np.empty(len(by_place), np.int32)
+        where[by_place] = np.arange(len(by_place), dtype=np.int32)
         words = np.bincount(place, minlength=n)
         planes = {"number": _steps(number[by_place] // np.uint64(n), words), "words": words, "u": where[of[: len(u)]], "w": where[of[len(u) :]], "count": count, "steps": steps, "lengths": lengths}
         data = pack(blocks=np.array(t.column("block").to_pylist(), np.int64), **{k: _planes(v) for k, v in planes.items()})
         return pa.Table.from_pydict({"block": pa.array([t.column("bucket")[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    pairs = Blocks(scratch, blocks.with_answers(to_blocks, ask_pairs, QUESTION).groupBy("bucket").applyInArrow(merge_pairs, "block long, data binary"))
+    pairs = Blocks(scratch, of_bucket(blocks.with_answers(to_blocks, ask_pairs, QUESTION), merge_pairs, "block long, data binary"))
 
     # 3. Sweeps: buckets of pairs tell tables to buckets of words, which seat the parent and answer.
     class Restaurants:
@@ -488,7 +505,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
         asked = scratch.save(asked)
         while held:  # the round before has been read
             scratch.drop(held.pop())
-        given = scratch.save(asked.where("bucket >= 0").groupBy("bucket").applyInArrow(seat_parent(k, rest), QUESTION))
+        given = scratch.save(of_bucket(asked.where("bucket >= 0"), seat_parent(k, rest), QUESTION))
         sums = _sum_totals(given)
         # What no known word has: the share of the one word more, and the variable for the next round.
         sums["mass"] = sums.get("mass", 0.0) + float(tilted_stable(1, rest / (n_known + 1), PARENT_DISCOUNT, draw)[0])
