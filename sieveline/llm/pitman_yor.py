@@ -97,12 +97,13 @@ def _unsteps(steps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def gammaln(x: np.ndarray | float) -> np.ndarray:
     """Logarithms of the gamma function for positive numbers, by Stirling's series beyond 16."""
-    x = np.asarray(x, np.float64)
+    x = np.array(x, np.float64)
     less = np.zeros(x.shape)
-    for _ in range(16):
+    small = x < 16
+    while small.any():
+        less[small] += np.log(x[small])
+        x[small] += 1
         small = x < 16
-        less += np.where(small, np.log(np.where(small, x, 1)), 0)
-        x = np.where(small, x + 1, x)
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + (1 / 12 - (1 / 360 - 1 / 1260 / x**2) / x**2) / x - less
 
 
@@ -129,9 +130,22 @@ def _series(discount: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return j, np.where(j % 2, 1, -1) * np.sin(np.pi * np.round(discount * j, 9)) / np.pi, _factors(np.arange(1, ROWS + 1), j, discount)
 
 
+@lru_cache(maxsize=2)
+def _fixed_factors(discount: float) -> np.ndarray:
+    j = np.arange(1, TERMS + 1)
+    return gammaln(1 + discount * j) - gammaln(j + 1)
+
+
 def _factors(t: np.ndarray, j: np.ndarray, discount: float) -> np.ndarray:
-    choose = gammaln(t[:, None] + 1) - gammaln(np.maximum(t[:, None] - j, 0) + 1) - gammaln(j + 1)
-    return np.where(j <= t[:, None], choose + gammaln(1 + discount * j), -np.inf)
+    choose = gammaln(t + 1)[:, None] - gammaln(np.maximum(t[:, None] - j, 0) + 1)
+    return np.where(j <= t[:, None], choose + _fixed_factors(discount), -np.inf)
+
+
+@lru_cache(maxsize=4096)
+def _by_customers(c: int, discount: float) -> tuple[np.ndarray, float]:
+    """What in the series depends on c alone, and the logarithm of c!."""
+    whole = gammaln(c + 1)
+    return gammaln(c - discount * _series(discount)[0]) - whole, float(whole)
 
 
 def _saddle(c: int, t: np.ndarray, discount: float) -> np.ndarray:
@@ -157,14 +171,14 @@ def _log_stirling_of(c: int, t: np.ndarray, discount: float) -> np.ndarray:
     j, part, rows = _series(discount)
     border = int(SHARE * c**discount)
     few, out = t <= border, np.empty(len(t))
-    by_c = gammaln(c - discount * j) - gammaln(c + 1)
+    by_c, whole = _by_customers(c, discount)
     sum_of = lambda x: np.log(np.exp((rows[x - 1] if x.max(initial=1) <= ROWS else _factors(x, j, discount)) + by_c) @ part)
     out[few] = sum_of(t[few])
     if not few.all():
         x = np.append(t[~few], border).astype(np.float64)
         found = _saddle(c, x, discount)
         out[~few] = found[:-1] + (sum_of(np.array([border]))[0] - found[-1])
-    return out + gammaln(c + 1) - gammaln(t + 1) - t * np.log(discount)
+    return out + whole - gammaln(t + 1) - t * np.log(discount)
 
 
 def _seat_many(c: int, log_pull: float, discount: float, u: float) -> int:
