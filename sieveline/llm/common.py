@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a worker takes in hand at once; a single longer text is taken alone.
 SLICE_BYTES = 4 << 20
@@ -19,17 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names. Only a session on one machine may go without: it gets a folder of its own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_dir:
         return set_dir.rstrip("/")
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return str(own.get()).rstrip("/")
 
 
+def quoted(*names: str) -> list[Column]:
+    """Columns by their whole names, whatever characters those hold."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def as_fields(df: DataFrame, names: Iterable[str], added: str) -> StructType:
+    """The schema of columns of ``df`` and those that a string adds; an added one takes the place of one of its name."""
+    fields = {c: StructField(c, df.schema[c].dataType) for c in names} | {f.name: f for f in StructType.fromDDL(added)}
+    return StructType(list(fields.values()))
+
+
 class Scratch:
     """Tables in the shared folder that cut lineage; ``drop`` removes what is no longer read."""
 
@@ -65,7 +88,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, column: str, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
+def map_slices(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
     """Apply ``work`` to slices of Arrow batches, bounded by the bytes of ``column``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

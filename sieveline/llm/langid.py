@@ -10,19 +10,21 @@ language keeps its ``GRAMS_PER_LANGUAGE`` most frequent n-grams whose share of t
 of what the language that uses it most has.
 
 Defined cases: a text that is null or without a letter gets ``und`` and score 0; a text with letters but no known
-n-gram gets the first language in order and score 0; very long texts are taken whole, in pieces; ties go to the
-first language in order; rows without a label teach nothing; without any labelled row all texts get ``und``; an empty
+n-gram gets the first language in order and score 0; very long texts are taken whole, their windows in pieces; ties go to the
+first language in order; a kept column that has the name of a made one is replaced by it; rows without a label teach nothing; without any labelled row all texts get ``und``; an empty
 table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, table
+from .common import as_fields, map_slices, quoted, table
 
 #: Labelled rows of each language that a model is fitted on, about.
 SAMPLE_PER_LANGUAGE = 4000
@@ -34,11 +36,13 @@ PIECE = 4 << 20
 _FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def grams(text: str) -> np.ndarray:
-    """The 4-byte windows of a text's lower-cased UTF-8, as unsigned integers, of which the middle ones aren't spaces."""
-    a = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b"  ", np.uint8).astype(np.uint32)
-    whole = a[:-3] | a[1:-2] << 8 | a[2:-1] << 16 | a[3:] << 24
-    return whole[(a[1:-2] != 32) & (a[2:-1] != 32)]
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The 4-byte windows of a text's lower-cased UTF-8, as unsigned integers, of which the middle ones aren't spaces; a long text's come in pieces."""
+    raw = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_FOLD) + b"  ", np.uint8)
+    for at in range(0, len(raw) - 3, PIECE):
+        a = raw[at : at + PIECE + 3].astype(np.uint32)
+        whole = a[:-3] | a[1:-2] << 8 | a[2:-1] << 16 | a[3:] << 24
+        yield whole[(a[1:-2] != 32) & (a[2:-1] != 32)]
 
 
 def has_letter(text: str | None) -> bool:
@@ -71,8 +75,7 @@ class Model:
     def counts(self, text: str) -> tuple[np.ndarray, int]:
         """How many n-grams each language seems to contain, and how many there are."""
         hits, n = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text), PIECE):
-            g = grams(text[at : at + PIECE])
+        for g in grams(text):
             n += len(g)
             one, two = _slots(g)
             for f, rows in enumerate(self.filters):
@@ -81,14 +84,18 @@ class Model:
                     hits[k] += np.count_nonzero(masks & rows.dtype.type(1 << (k - 64 * f)))
         return hits, n
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and a score from 0 to 1: the share of n-grams that its own set explains."""
+    def judge(self, text: str | None) -> tuple[str, float, int]:
+        """The language, a score from 0 to 1 (the share of n-grams that its own set explains), and the number of n-grams."""
         if not self.languages or not has_letter(text):
-            return "und", 0.0
+            return "und", 0.0, 0
         hits, n = self.counts(text)
         true = np.clip((hits - n * self.rates) / (1 - np.minimum(self.rates, 0.999)), 0, None)
         best = int(true.argmax())
-        return self.languages[best], float(min(1.0, true[best] / max(n, 1)))
+        return self.languages[best], float(min(1.0, true[best] / max(n, 1))), n
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and the score."""
+        return self.judge(text)[:2]
 
 
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -105,8 +112,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             seen: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for at in range(0, len(text), PIECE):
-                    seen.setdefault(lang, []).append(grams(text[at : at + PIECE]))
+                seen.setdefault(lang, []).extend(grams(text))
             for lang, parts in seen.items():
                 values, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(values), pa.string()), "gram": pa.array(values.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
@@ -122,18 +128,18 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return Model({k: np.array(v, np.uint32) for k, v in by.items()})
 
 
-def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``id_col``, the columns in ``keep``, ``lang_pred`` and ``score``."""
+def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str, str] = ("lang_pred", "score", "n_grams")) -> DataFrame:
+    """Rows of ``id_col``, the columns in ``keep``, and three columns ``out``: the language, the score and the number of n-grams."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shared.value.predict(t) for t in batch.column(text_col).to_pylist()]
-        columns = {c: batch.column(c) for c in names}
-        return pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())})
+        found = [shared.value.judge(t) for t in batch.column(text_col).to_pylist()]
+        made = zip(out, (pa.string(), pa.float64(), pa.int64()), strict=True)
+        return pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {name: pa.array([x[k] for x in found], kind) for k, (name, kind) in enumerate(made)})
 
-    return map_slices(df.select(*dict.fromkeys([*names, text_col])), text_col, f"{kinds}, lang_pred string, score double", work)
+    added = "`{}` string, `{}` double, `{}` bigint".format(*out)
+    return map_slices(df.select(*quoted(*dict.fromkeys([*names, text_col]))), text_col, as_fields(df, names, added), work)
 
 
 def fold(id_col: str, n: int) -> F.Column:

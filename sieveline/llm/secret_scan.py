@@ -7,7 +7,7 @@ of its length, is its novelty. Natural words and identifiers are cheap for the d
 
 Defined cases: a null or empty text has no spans; very long texts are scanned whole; spans count code points, ends
 exclusive; equal rows give equal results; a novel span never overlaps a base span; an empty table gives an empty
-result; other columns of the input are not read.
+result; other columns of the input are not read, and a kept one with the name of a made one is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_slices, table
+from .common import as_fields, map_slices, quoted, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns of the base kinds. Letters of assign match in either case, ASCII only.
@@ -121,7 +121,6 @@ def _joined(found: list[tuple[int, int, int]]) -> str:
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``id_col``, the columns in ``keep``, counts by kind, a digest of the base spans, and all spans."""
     names = list(dict.fromkeys([id_col, *keep]))
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [spans(t) for t in batch.column(text_col).to_pylist()]
@@ -133,7 +132,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep:
         return pa.RecordBatch.from_pydict(columns)
 
     counts = ", ".join(f"n_{k} bigint" for k in KINDS)
-    return map_slices(df.select(*dict.fromkeys([*names, text_col])), text_col, f"{kinds}, {counts}, base_sha256 string, spans string", work)
+    return map_slices(df.select(*quoted(*dict.fromkeys([*names, text_col]))), text_col, as_fields(df, names, f"{counts}, base_sha256 string, spans string"), work)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +141,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(df: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The rows of ``df`` with each span of the text replaced by ``[kind]``, and ``chars_col`` (if any) counted anew where a text changed."""
+    """The rows of ``df`` with each span of the text replaced by ``[kind]``, and ``chars_col`` (if ``df`` has it) counted anew where a text changed."""
+    counted = chars_col in df.columns
 
     def clean(text: str | None) -> str | None:
         found = spans(text)[1]
@@ -160,7 +160,7 @@ def redact(df: DataFrame, *, text_col: str = "text", chars_col: str | None = "n_
         after = [clean(t) for t in before]
         columns = {c: batch.column(c) for c in batch.schema.names}
         columns[text_col] = pa.array(after, batch.schema.field(text_col).type)
-        if chars_col:
+        if counted:
             counts = columns[chars_col].to_pylist()
             columns[chars_col] = pa.array([n if a is b else len(a) for n, a, b in zip(counts, after, before, strict=True)], columns[chars_col].type)
         return pa.RecordBatch.from_pydict(columns)

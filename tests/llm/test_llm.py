@@ -38,6 +38,12 @@ def odd(spark):
     return spark.createDataFrame(rows, DOCS + ", k string, fp int")
 
 
+def clashing(spark):
+    """The odd rows with columns that have the names which operators and stages make, and a name with a dot."""
+    names = ("id", "row", "lang_pred", "score", "n_grams", "text_key", "stay_id", "root", "h", "key", "n_hex", "spans", "a.b", "_score")
+    return odd(spark).select("*", *[F.lit(f"mine {c}").alias(c) for c in names])
+
+
 def empty(spark):
     return spark.createDataFrame([], DOCS)
 
@@ -479,8 +485,10 @@ def test_near_copies(spark):
             texts.append(" ".join(copy))
     texts += ["", None, "a b", "a b", texts[0]]
     rows = [(i, t, "en", "s", 1, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1, "clash")]
-    df = spark.createDataFrame(rows, DOCS + ", k string").drop("k")
-    got = sorted(r.doc_id for r in near_copies.keep_one(df).collect())
+    df = spark.createDataFrame(rows, DOCS + ", k string")
+    kept = near_copies.keep_one(df)
+    assert {r.k for r in kept.collect()} == {"clash"} and kept.columns == df.columns
+    got = sorted(r.doc_id for r in kept.collect())
     assert got == [0, 6, 12, 18, 24, 30, 36, 42, 48, 50]
     assert near_copies.keep_one(empty(spark)).count() == 0
 
@@ -533,9 +541,56 @@ def test_pipeline(spark, sf, docs):
 
 
 def test_pipeline_of_odd_rows(spark, sf):
-    now = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
     scratch = Scratch(spark, "t")
-    for rows in (now, empty(spark)):
-        for _, stage in corpus_pipeline.STAGES:
-            rows = scratch.save(stage(spark, rows, sf))
-        rows.count()
+    for rows in (odd(spark), clashing(spark), clashing(spark).drop("n_chars"), empty(spark)):
+        for name, stage in corpus_pipeline.STAGES:
+            made = scratch.save(stage(spark, rows, sf))
+            if name != "byte_bpe":
+                assert made.schema.simpleString() == rows.schema.simpleString()
+                mine = [c for c in rows.columns if c not in DOCS]
+                assert all(r[c] == before[c] for r in made.collect() for before in rows.limit(1).collect() for c in mine)
+            rows = made
+        assert rows.count() in (0, 6)  # five texts without a letter, a copy and a text of unknown words go
+
+
+def test_language_stage(spark, sf, docs):
+    """Against the model itself, and texts that leave doubt."""
+    df = spark.createDataFrame([(i, t, lang, s, n) for i, t, lang, s, n in docs] + [(10**6, "zq", "", "", 2), (10**6 + 1, "zqxj " * 200, "", "", 1000), (10**6 + 2, "123 456", "", "", 7)], DOCS)
+    model = langid.fit(df)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, df, sf).collect()}
+    for i, t, *_ in docs:
+        lang, p, n = model.judge(t)
+        z = 9 / n if n else 0
+        most = (p + z / 2 + math.sqrt(z * p * (1 - p) + z * z / 4)) / (1 + z)
+        assert (i in kept) == (lang != "und" and (n == 0 or most >= corpus_pipeline.LEAST_SCORE))
+    assert 10**6 in kept and not {10**6 + 1, 10**6 + 2} & kept
+
+
+def test_secret_stage(spark, sf):
+    key = "q8Zr2LxV9tPw4KbN7sYd3Hf6"
+    df = spark.createDataFrame([(1, f"a token={key} b", "en", "s", 5), (2, f"Authorization: Bearer {key}", "en", "s", 5), (3, "clean words", "en", "s", 11)], DOCS)
+    assert [r.text for r in corpus_pipeline.secret_scan_stage(spark, df, sf).orderBy("doc_id").collect()] == ["a [assign] b", "Authorization: Bearer [novel]", "clean words"]
+
+
+def test_op4_long_texts_in_pieces(monkeypatch):
+    text = "wörter und häuser " * 50
+    whole = np.concatenate(list(langid.grams(text)))
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert np.array_equal(np.concatenate(list(langid.grams(text))), whole)
+
+
+def test_op4_filters_against_sets():
+    """Bloom filters hold all n-grams put in, and corrected counts are near the true ones."""
+    rng = np.random.default_rng(3)
+    sets = {k: rng.integers(0, 1 << 32, 20_000, dtype=np.uint32) for k in ("a", "b", "c")}
+    model = langid.Model(sets)
+    for k, own in enumerate(sets.values()):
+        one, two = langid._slots(own)
+        assert ((model.filters[0][one] & model.filters[0][two]) >> k & 1).all()
+    probe = np.concatenate([sets["b"][:3000], rng.integers(0, 1 << 32, 7000, dtype=np.uint32)])
+    one, two = langid._slots(probe)
+    masks = model.filters[0][one] & model.filters[0][two]
+    hits = np.array([np.count_nonzero(masks >> k & 1) for k in range(3)])
+    true = (hits - len(probe) * model.rates) / (1 - model.rates)
+    assert np.abs(true - [0, 3000, 0]).max() < 150
