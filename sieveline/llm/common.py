@@ -89,11 +89,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def map_slices(df: DataFrame, column: str, schema: str | StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch], limit: int = SLICE_BYTES) -> DataFrame:
-    """Apply ``work`` to slices of Arrow batches, bounded by the bytes of ``column``."""
+    """Apply ``work`` to slices of Arrow batches, bounded by the bytes of ``column``. Columns travel by place, since mapInArrow can't tell names with dots."""
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column, limit):
+            for part in slices(batch.rename_columns(names), column, limit):
                 yield work(part)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
