@@ -17,6 +17,7 @@ ADDRESS_ENDS = "省|自治区|市|自治州|区|县|旗|镇|乡|村|街道|路|
 NAME = rf"(?U)((?:{NAME_WORDS})\s*[：:]?\s*)([一-鿿]{{2,4}})"
 ADDRESS = rf"(?U)((?:{ADDRESS_WORDS})\s*[：:]?\s*)([^。；;\n]{{4,80}})"
 EXTEND = 40
+HAN = "[一-鿿]"
 
 
 def organization_type(name: Column) -> Column:
@@ -31,6 +32,7 @@ def _entity(text: Column, kind: str, start: Column, end: Column, confidence: flo
 
 def detect(text: Column) -> Column:
     """Persons and addresses after their words, as an array of entities."""
+    text = F.when(text.rlike(HAN), text).otherwise("")  # all the words are Chinese
     people = F.transform(group_spans(text, NAME), lambda s: _entity(text, "person", s["start"], s["end"], 0.72))
     kept = lambda s: F.length(F.regexp_replace(piece(text, s["start"], s["end"]), "[，, ]+$", ""))
     cut = F.transform(group_spans(text, ADDRESS), lambda s: F.struct(s["start"].alias("start"), (s["start"] + kept(s)).alias("end")))

@@ -49,7 +49,7 @@ def merged(found: Column) -> Column:
         sources = F.when(F.size(group) > 1, F.array_sort(F.array_distinct(F.flatten(F.transform(group, lambda b: b["sources"]))))).otherwise(a["sources"])
         return a.withField("sources", sources).withField("confidence", F.array_max(F.transform(group, lambda b: b["confidence"])))
 
-    return F.transform(firsts, joined)
+    return F.when(F.size(found) < 2, found).otherwise(F.transform(firsts, joined))
 
 
 def rank(e: Column) -> list[Column]:
@@ -62,7 +62,7 @@ def rank(e: Column) -> list[Column]:
 
 def fuse(found: Column) -> Column:
     """An array of entities without overlaps: the best first, sorted by place."""
-    return in_place(greedy(ranked(found, rank), ENTITY))
+    return F.when(F.size(found) < 2, found).otherwise(in_place(greedy(ranked(found, rank), ENTITY)))
 
 
 def above(found: Column, thresholds: dict[str, float], default: float = 0.0) -> Column:

@@ -49,6 +49,31 @@ _IPS = rf"SELECT doc_id, source, value FROM (SELECT doc_id, source, unnest(regex
 _MAILS = f"SELECT doc_id, source, unnest(regexp_extract_all(text, '{EMAIL_SQL}', 1)) AS value FROM documents"
 
 
+def _greedy_sql(ranked: str, key: str) -> str:
+    """Of spans (key, k, s, e, ...), k their rank from 1 on, those that overlap none taken before them: a walk by rank, one step a rank."""
+    return f"""walked AS (SELECT {key}, 0::BIGINT AS k, []::STRUCT(k BIGINT, s BIGINT, e BIGINT)[] AS taken FROM {ranked} GROUP BY {key}
+    UNION ALL SELECT w.{key}, r.k, CASE WHEN len(list_filter(w.taken, lambda t: r.s < t.e AND t.s < r.e)) > 0 THEN w.taken ELSE list_append(w.taken, {{'k': r.k, 's': r.s::BIGINT, 'e': r.e::BIGINT}}) END FROM walked w JOIN {ranked} r ON r.{key} = w.{key} AND r.k = w.k + 1),
+    chosen AS (SELECT {key}, unnest(list_transform(max_by(taken, k), lambda t: t.k)) AS k FROM walked GROUP BY {key})"""
+
+
+#: Numbers of cards: 16 to 19 digits with single separators, no digit beside them (other runs of digits are passed over), that
+#: pass Luhn or stand near a card's word.
+_RUN = "((?:[0-9][ -]?){15,18}[0-9])(?:[^0-9]|$)|[0-9]+"
+_CARD_SQL = f"""runs AS (SELECT doc_id, text, regexp_extract_all(text, '{_RUN}') AS m, regexp_extract_all(text, '{_RUN}', 1) AS g, regexp_split_to_array(text, '{_RUN}') AS p FROM documents WHERE regexp_matches(text, '[0-9](?:[ -]?[0-9]){{15}}')),
+    places AS (SELECT doc_id, text AS whole, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'raw': g[i], 's': coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0)::BIGINT}})) AS r FROM runs),
+    numbers AS (SELECT doc_id, r.raw AS raw, regexp_replace(r.raw, '[ -]', '', 'g') AS digits, r.s AS s, r.s + length(r.raw) AS e, whole FROM places WHERE r.raw <> ''),
+    checked AS (SELECT *, list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN (length(digits) - i) % 2 = 0 THEN digits[i]::INT ELSE (digits[i]::INT * 2) % 10 + (digits[i]::INT * 2) // 10 END)) % 10 = 0 AS good,
+        regexp_matches(whole[greatest(s - 16, 0) + 1 : e + 16], '银行卡|卡号|账户|账号') AS near FROM numbers WHERE length(digits) BETWEEN 16 AND 19),
+    cards AS (SELECT doc_id, 'bank_card' AS type, raw AS text, digits AS normalized_text, s, e, CASE WHEN good THEN 0.99 ELSE 0.4 END::DOUBLE AS confidence, CASE WHEN good THEN 'passed' ELSE 'failed' END AS validation FROM checked WHERE good OR near)"""
+
+
+def _placed_sql(name: str, kind: str, pattern: str, group: int, confidence: float, where: str = "TRUE") -> str:
+    """Matches of a pattern with their places: what goes before is counted from the pieces between matches."""
+    return f"""{name}_m AS (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g, regexp_split_to_array(text, '{pattern}') AS p FROM documents WHERE regexp_matches(text, '{pattern}')),
+    {name} AS (SELECT doc_id, '{kind}' AS type, r.g AS text, r.s AS s, r.s + length(r.g) AS e, {confidence}::DOUBLE AS confidence, 'passed' AS validation FROM (SELECT doc_id, unnest(list_transform(range(1, len(m) + 1),
+        lambda i: {{'g': g[i], 's': coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0)::BIGINT - length(g[i])}})) AS r FROM {name}_m) WHERE {where})"""
+
+
 # Detection ------------------------------------------------------------------------------------------------------------
 
 
@@ -62,7 +87,7 @@ def ipv4_entities(spark, sf_dir):
     return _found(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", rules.ip_addresses).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH {_CARD_SQL} SELECT doc_id, text, normalized_text, s::INT AS "start", e::INT AS "end", confidence, validation FROM cards""")
 def card_entities(spark, sf_dir):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rules.exploded(docs.select("doc_id", rules.cards(F.col("text")).alias("cards")), "cards", "doc_id").select("doc_id", "text", "normalized_text", "start", "end", "confidence", "validation")
@@ -80,9 +105,14 @@ def entity_counts_by_source(spark, sf_dir):
     return found.groupBy(F.col("origin").alias("source"), "type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_CARD_SQL}, {_placed_sql("mails", "email", EMAIL_SQL, 1, 0.99)}, {_placed_sql("ips", "ip_address", "[0-9.]+", 0, 0.99, f"regexp_full_match(r.g, '{OCTET}([.]{OCTET}){{3}}')")},
+    every AS (SELECT doc_id, type, text, s, e, confidence, validation FROM cards UNION ALL SELECT * FROM mails UNION ALL SELECT * FROM ips),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN validation = 'failed' THEN 0 ELSE CASE type WHEN 'bank_card' THEN 110 WHEN 'email' THEN 100 ELSE 45 END END DESC, confidence DESC, e - s DESC, s, type) AS k FROM every),
+    {_greedy_sql("ranked", "doc_id")} SELECT doc_id, type, text, s::INT AS "start", e::INT AS "end", confidence, validation FROM chosen JOIN ranked USING (doc_id, k)"""
+)
 def detect_documents(spark, sf_dir):
-    """All detectors, fused."""
+    """All detectors, fused. The SQL has those detectors whose types the documents hold."""
     docs = fusion.detect(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rules.exploded(docs, "final", "doc_id").select("doc_id", "type", "text", "start", "end", "confidence", "validation")
 
@@ -199,7 +229,11 @@ def fuse_exact(spark, sf_dir):
     return merged.select("l_orderkey", "type", "start", "end", F.round("confidence", 6).alias("confidence"), F.array_join("sources", ",").alias("sources"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE one AS (SELECT l_orderkey, type, s, e, max(c) AS c, bool_or(src = 'ner') AS ner, min(l_linenumber) AS pos FROM ({_LINE_SQL}) GROUP BY l_orderkey, type, s, e),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE type WHEN 'email' THEN 100 WHEN 'phone' THEN 90 WHEN 'address' THEN 60 ELSE 55 END - CASE WHEN type IN ('person', 'address') AND NOT ner THEN 15 ELSE 0 END DESC, c DESC, e - s DESC, pos, type, s, e) AS k FROM one),
+    {_greedy_sql("ranked", "l_orderkey")} SELECT l_orderkey, type, s AS "start", e AS "end", round(c, 6) AS confidence FROM chosen JOIN ranked USING (l_orderkey, k)"""
+)
 def fuse_overlaps(spark, sf_dir):
     df = _line_entities(spark, sf_dir)
     merged = df.withColumn("_n", fusion.normalized(df, "entities")).withColumn("_m", fusion.merged(F.col("_n")))
@@ -217,7 +251,10 @@ def enabled_types(spark, sf_dir):
     return _line_entities(spark, sf_dir).select("l_orderkey", F.inline(fusion.of_types(F.col("entities"), {"phone", "email"}))).select("l_orderkey", "type", "start", "end")
 
 
-@query(f"""SELECT a.l_orderkey, count(b.l_orderkey) AS pairs FROM ({_LINE_SQL}) a LEFT JOIN ({_LINE_SQL}) b ON a.l_orderkey = b.l_orderkey AND a.rn < b.rn AND a.s < b.e AND b.s < a.e GROUP BY a.l_orderkey""")
+@query(
+    f"""WITH o AS MATERIALIZED (SELECT * REPLACE (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, s, e, c) AS rn) FROM ({_LINE_SQL}))
+    SELECT a.l_orderkey, count(b.l_orderkey) AS pairs FROM o a LEFT JOIN o b ON a.l_orderkey = b.l_orderkey AND a.rn < b.rn AND a.s < b.e AND b.s < a.e GROUP BY a.l_orderkey"""
+)
 def span_overlap_pairs(spark, sf_dir):
     return _line_entities(spark, sf_dir).select("l_orderkey", overlap_pairs(F.col("entities")).cast("bigint").alias("pairs"))
 
