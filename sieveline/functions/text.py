@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 #: Weights and check characters of MOD 11-2.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECK = "10X98765432"
-_FULL_WIDTH = "".join(chr(0xFF10 + d) for d in range(10))
+FULL_WIDTH = "".join(chr(0xFF10 + d) for d in range(10))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
 def ascii_digits(c: Column) -> Column:
     """Full-width digits as ASCII ones."""
-    return F.translate(c, _FULL_WIDTH, "0123456789")
+    return F.translate(c, FULL_WIDTH, "0123456789")
 
 
 def without_spaces(c: Column, hyphens: bool = False) -> Column:
@@ -61,13 +61,15 @@ def is_card(c: Column) -> Column:
 
 
 def is_ip(c: Column) -> Column:
-    """An IPv4 or IPv6 address in text."""
+    """An IPv4 or IPv6 address in text; an IPv6 address may end in an IPv4 one, which stands for two groups."""
+    v4 = c.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
+    c = F.regexp_replace(c, rf":{_OCTET}(?:\.{_OCTET}){{3}}$", ":0:0")
     groups = F.filter(F.split(c, ":"), lambda g: g != "")
     plain = F.forall(groups, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")) & c.contains(":") & ~c.contains(":::")
     pairs = (F.length(c) - F.length(F.replace(c, F.lit("::"), F.lit("")))) / 2
     begins, ends = c.startswith(":") & ~c.startswith("::"), c.endswith(":") & ~c.endswith("::")
     v6 = plain & ~begins & ~ends & (((pairs == 0) & (F.size(groups) == 8)) | ((pairs == 1) & (F.size(groups) <= 7)))
-    return F.coalesce(c.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$") | v6, F.lit(False))
+    return F.coalesce(v4 | v6, F.lit(False))
 
 
 def similarity(a: Column, b: Column) -> Column:

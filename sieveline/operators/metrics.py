@@ -122,3 +122,27 @@ def error_cases(truth: DataFrame, predicted: DataFrame, seq: str = "seq") -> Dat
         return near.unionByName(own.join(near.drop("error"), key, "left_anti").withColumn("error", F.lit(name)))
 
     return judged(lost, p, "missed").unionByName(judged(extra, t, "false_positive"))
+
+
+def image_metrics(rows: DataFrame, by: str | None = None) -> DataFrame:
+    """Images' results together, or by type, template or source (a column of ``rows``).
+
+    ``rows`` has an entity of truth or prediction each: truth and predicted (booleans), exact and partial (matches), iou (of a matched truth) and confidence.
+    """
+    group = rows.groupBy(*([by] if by else []))
+    matched = F.count_if(F.col("exact") | F.col("partial"))
+    one = group.agg(
+        F.count_if("truth").alias("truth"), F.count_if("predicted").alias("predicted"), F.count_if("exact").alias("exact"), F.count_if("partial").alias("partial"), matched.alias("matched"),
+        F.count_if(F.col("truth") & ~(F.col("exact") | F.col("partial"))).alias("missed"), F.count_if(F.col("predicted") & ~(F.col("exact") | F.col("partial"))).alias("false_positives"),
+        F.coalesce(F.avg(F.when(F.col("truth"), F.coalesce("iou", F.lit(0.0)))), F.lit(0.0)).alias("mean_iou"), F.count_if(F.col("truth") & (F.col("iou") >= 0.95)).alias("complete"),
+        F.count_if(F.col("truth") & (F.col("iou") > 0) & (F.col("iou") < 0.95)).alias("partly_covered"),
+    )
+    p, r, f = _rates("matched", F.col("predicted"), F.col("truth"))
+    return one.withColumns({"precision": p, "recall": r, "f1": f})
+
+
+def image_cases(rows: DataFrame) -> DataFrame:
+    """Entities that are missed, false, or matched in part only, with what they are in ``error``."""
+    hit = F.col("exact") | F.col("partial")
+    error = F.when(F.col("truth") & ~hit, "missed").when(F.col("predicted") & ~hit, "false_positive").when(F.col("partial") & ~F.col("exact"), "partial")
+    return rows.withColumn("error", error).where("error IS NOT NULL")

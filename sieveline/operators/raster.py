@@ -86,21 +86,26 @@ def redact(image: np.ndarray, boxes: list, mode: str = "black", block: int = 12,
     return out, mask.astype(np.uint8) * 255
 
 
-def ink(image: np.ndarray) -> np.ndarray:
-    """The pixels of a line of text that aren't background, whichever of the two is dark: Otsu's threshold on a light background."""
-    g = gray(image)
-    border = np.concatenate([g[0], g[-1], g[:, 0], g[:, -1]])
-    if np.median(border) < 128:
-        g = 255 - g
+def otsu(g: np.ndarray) -> int:
+    """The gray level that parts an image best: the last of the darker side. -1 for a single level."""
     hist = np.bincount(g.astype(np.uint8).ravel(), minlength=256).astype(float)
     if np.count_nonzero(hist) < 2:
-        return np.zeros(g.shape, bool)
+        return -1
     below = np.cumsum(hist)
     mass = np.cumsum(hist * np.arange(256))
     above = below[-1] - below
     with np.errstate(divide="ignore", invalid="ignore"):
         between = np.nan_to_num((mass[-1] * below / below[-1] - mass) ** 2 / (below * above))
-    return g <= between.argmax()
+    return int(between.argmax())
+
+
+def ink(image: np.ndarray) -> np.ndarray:
+    """The pixels of a line of text that aren't background, whichever of the two is dark: Otsu's threshold on a light background."""
+    g = gray(image)
+    border = np.concatenate([g[0], g[-1], g[:, 0], g[:, -1]])
+    if np.median(border) < 128:
+        g = 255 - g
+    return g <= otsu(g)
 
 
 def refine_by_columns(image: np.ndarray, low: float, high: float, reach: float = 0.06) -> tuple[float, float, float]:

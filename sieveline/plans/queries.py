@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import text as T
 from ..functions.spans import overlap_pairs
-from ..operators import batch, context, dataset, fusion, history, layout, masking, metrics, ner, rules
+from ..operators import annotations, batch, context, dataset, documents, fusion, history, layout, masking, metrics, ner, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -581,6 +581,65 @@ def map_boxes(spark, sf_dir):
     return layout.map_entities(layout.map_parts(full), "conv_id", "entity").select("conv_id", "mapping_quality", "mapping_confidence", "mapping_strategy", F.size("boxes").alias("n_boxes"))
 
 
+# Annotations, training records and reports ----------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS image FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def images_without_annotation(spark, sf_dir):
+    return annotations.without_annotation(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("image")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image")))
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice AS f1, row_number() OVER w AS pos, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+    max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+    SELECT run, epoch, best, stale, stale >= 3 AS stop FROM (SELECT run, epoch, best, pos - max(CASE WHEN before IS NULL OR f1 > before THEN pos END) OVER (PARTITION BY run ORDER BY epoch) AS stale FROM e)"""
+)
+def early_stopping(spark, sf_dir):
+    epochs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderkey").alias("epoch"), F.col("o_totalprice").alias("f1"))
+    return annotations.early_stopping(epochs, "f1", 3).select("run", "epoch", "best", F.col("stale").cast("bigint").alias("stale"), "stop")
+
+
+@query("SELECT o_orderpriority AS epoch, avg(o_totalprice) AS loss FROM orders GROUP BY ALL")
+def loss_history(spark, sf_dir):
+    return annotations.history(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("epoch"), F.col("o_totalprice").alias("loss")))
+
+
+@query("SELECT l_orderkey, l_linenumber AS line, min(l_quantity) - 3 AS x1, min(l_discount) - 3 AS y1, max(l_quantity + 5) + 3 AS x2, max(l_discount + 1) + 3 AS y2 FROM lineitem GROUP BY ALL")
+def line_boxes(spark, sf_dir):
+    chars = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("y1"), (F.col("l_quantity") + 5).alias("x2"), (F.col("l_discount") + 1).alias("y2"))
+    return annotations.merged_boxes(chars, "l_orderkey")
+
+
+@query(
+    """SELECT kind, count(*) FILTER (t) AS truth, count(*) FILTER (p) AS predicted, count(*) FILTER (x OR q) AS matched, count(*) FILTER (t AND NOT (x OR q)) AS missed, count(*) FILTER (p AND NOT (x OR q)) AS false_positives,
+    round(avg(iou) FILTER (t), 9) AS mean_iou, count(*) FILTER (t AND iou >= 0.95) AS complete FROM (SELECT l_linenumber AS kind, l_orderkey % 3 > 0 AS t, l_partkey % 3 > 0 AS p, l_orderkey % 3 > 0 AND l_partkey % 3 > 0 AND l_suppkey % 2 = 0 AS x,
+    l_orderkey % 3 > 0 AND l_partkey % 3 > 0 AND l_suppkey % 4 = 1 AS q, l_discount * 10 AS iou FROM lineitem) GROUP BY kind"""
+)
+def image_metrics(spark, sf_dir):
+    t, p = F.col("l_orderkey") % 3 > 0, F.col("l_partkey") % 3 > 0
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("kind"), t.alias("truth"), p.alias("predicted"), (t & p & (F.col("l_suppkey") % 2 == 0)).alias("exact"), (t & p & (F.col("l_suppkey") % 4 == 1)).alias("partial"), (F.col("l_discount") * 10).alias("iou"))
+    return metrics.image_metrics(rows, "kind").select("kind", "truth", "predicted", "matched", "missed", "false_positives", F.round("mean_iou", 9).alias("mean_iou"), "complete")
+
+
+@query("SELECT 'image_test_' || lpad(s_suppkey::VARCHAR, 6, '0') AS id, s_name AS image_path, 'own' AS license FROM supplier")
+def manifest_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("image"), F.col("s_suppkey").alias("row"))
+    return annotations.manifest(rows, {"license": "own"}).select("id", "image_path", "license")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'url' ELSE 'phone' END AS type, o_orderkey % 5 <> 0 AS enabled FROM orders")
+def table_edits(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(0).alias("ordinal"), F.lit("phone").alias("type"))
+    edits = rows.where("o_orderkey % 5 = 0").select("o_orderkey", "ordinal", F.lit("url").alias("type"), F.lit(False).alias("enabled"))
+    return documents.edited(rows, edits, "o_orderkey").select("o_orderkey", "type", "enabled")
+
+
+@query("SELECT c_custkey AS request_id, round(c_acctbal, 6) AS ocr, 0.0::DOUBLE AS fusion, c_nationkey::BIGINT AS ocr_calls FROM customer")
+def performance_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.create_map(F.lit("ocr"), F.col("c_acctbal").cast("double"), F.lit("other"), F.lit(1.0)).alias("stages"), F.create_map(F.lit("ocr_calls"), F.col("c_nationkey").cast("long")).alias("counters"))
+    return documents.performance(rows).select("request_id", "ocr", "fusion", "ocr_calls")
+
+
 # History and batches --------------------------------------------------------------------------------------------------
 
 

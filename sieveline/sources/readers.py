@@ -9,10 +9,16 @@ _HIDDEN = r"/(?:\.cache|__pycache__)/"
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Rows (file, row, value): the lines of text files without a byte order mark, blank ones left out; ``row`` counts those of a file from 1, blank ones too."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    order = Window.partitionBy("file").orderBy("block", "at")
-    return raw.withColumn("row", F.row_number().over(order)).where("trim(value) <> ''").select("file", "row", "value")
+    """Rows (file, row, value): the lines of text files without a byte order mark, blank ones left out; ``row`` counts those of a file from 1, blank ones too.
+
+    A line's number is its place within its part of the file and the lines of the parts before, so a large file isn't one task's.
+    """
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "^﻿", "").alias("value"))
+    part = raw.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    sizes = part.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return part.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).cast("int").alias("row"), "value").where("trim(value) <> ''")
 
 
 def strict_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -55,7 +61,26 @@ def discover(spark: SparkSession, root: str, patterns: dict[str, list[str]]) ->
             found = part if found is None else found.unionAll(part)
     if found is None:
         raise ValueError("no patterns")
-    return found.where(~F.col("file").rlike(_HIDDEN)).groupBy("file").agg(F.min_by("source", "rank").alias("source"))
+    out = found.where(~F.col("file").rlike(_HIDDEN)).groupBy("file").agg(F.min_by("source", "rank").alias("source"))
+    if out.isEmpty():
+        raise FileNotFoundError(f"{root} has no file of {patterns}")
+    return out
+
+
+def raw_files(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (file, source): all JSON files of a folder tree, by name; caches are left out."""
+    return discover(spark, root, {"raw": ["*.json", "*.jsonl"]}).orderBy("file")
+
+
+def uploaded(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows (filename, path, length, content) of listed files, in a batch's form; those that aren't there have nulls."""
+    named = spark.createDataFrame([(p,) for p in paths], "given string").withColumn("filename", F.regexp_extract("given", r"([^/]*)$", 1))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(p))]
+    if not there:
+        return named.select("filename", F.col("given").alias("path"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("binary").alias("content"))
+    read = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("key"), "length", "content")
+    return named.join(read, F.regexp_replace("given", "^[a-z]+:/*", "/") == F.col("key"), "left").select("filename", F.col("given").alias("path"), "length", "content")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
