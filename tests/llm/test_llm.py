@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,7 +263,7 @@ def test_op6(spark, sf):
 def test_op6_cases(spark):
     page = """<html><head><title>T</title></head><body><header>H</header><nav>menu<p>x</nav><div class="cookie-notice">C</div><main><h1>A&amp;B</h1><p>one <b>two</b>three<script>var x="</p>";</script>
     <aside>S</aside><div id=comments><article>no</article></div><form>F</form><p title="a>b">end&nbsp;x</main><footer>f</footer>"""
-    assert html_text.main_text(html_text.lines(page), None) == "A&B one twothree end x"
+    assert html_text.main_text(html_text.Page(1, "", "h", "/", *html_text.read(page))) == "A&B one twothree end x"
     plain = lambda x: f"<div>Menu</div><div>{x}</div><div>Imprint</div>"
     rows = [(1, "http://h/a/1", plain("first")), (2, "http://h/a/2", plain("second")), (3, "http://other/a", plain("third")), (4, None, None), (5, "", ""), (6, "http://h/a/3", plain("second")), (7, "http://z/", "<p>un<p>closed <b"), (7, "http://z/", "<p>un<p>closed <b")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
@@ -285,9 +286,38 @@ def test_op6_long_pages():
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         got, rest = sorted(html_text.shared(a, b)), iter(b)
         assert len(got) == best[-1][-1] and all(a[i] in rest for i in got)
-    page = lambda k, n: [("", f"own {k} {i}") for i in range(n)] + [("", f"menu {i}") for i in range(50)] + [("", f"end {k}")]
+    text = lambda k, n: "".join(f"<p>{t}" for t in [f"own {k} {i}" for i in range(n)] + [f"menu {i}" for i in range(50)] + [f"end {k}"])
+    page = lambda k, n: html_text.Page(k, "", "h", "/", *html_text.read(text(k, n)))
     for n, m in ((3000, 100), (100, 3000), (3000, 3900)):
         assert html_text.main_text(page(1, n), page(2, m)) == " ".join([*(f"own 1 {i}" for i in range(n)), "end 1"])
+    started = time.process_time()
+    assert html_text.lines("<div>" * 60_000 + "deep" + "</div>" * 60_000)[-1][1] == "deep" and time.process_time() - started < 3
+
+
+def test_op6_doesnt_depend_on_partitions(spark):
+    """Against a walk over all pages in order, by any number of ranges."""
+    rnd = random.Random(17)
+    rows = []
+    for k in range(60):
+        host, topic = rnd.choice("ab"), rnd.choice(["x", "y", "x/z"])
+        body = f"text {k}" if k % 7 else "same text"
+        html_ = f"<div>Menu {host}</div><div>Topic {topic}</div><div>{body}</div><div>Imprint</div>"
+        rows.append((k // 2, f"http://{host}.example/{topic}/{k % 20}", html_ if k % 11 else None, 1))
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    pages = sorted(((u.split("/")[2], "/" + u.split("/", 3)[3], i, u, h or "") for i, u, h, _ in rows), key=lambda r: r[:4])
+    made = [html_text.Page(r[2], r[3], r[0], r[1], *html_text.read(r[4])) for r in pages]
+    ties = Counter(r[:4] for r in pages)
+    want = Counter((p.id, p.url, html_text.main_text(p, made[i - 1] if i else None, made[i + 1] if i + 1 < len(made) else None)) for i, p in enumerate(made))
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (1, 6, 40, 211):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        seen.append(Counter((r.page_id, r.url, r.text) for r in html_text.extract(df).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(s == seen[0] for s in seen) and max(ties.values()) == 2 and seen[0] == want
+    assert any(t == "Topic x text 3" or "Menu" not in t for _, _, t in seen[0])
 
 
 def test_op7(spark, sf, docs):
