@@ -1,90 +1,116 @@
 """Token counts of the documents in flat token files that have no index, by scanning for separators.
 
-A flat file is a run of token ids with an end-of-document id after each document; it is read in blocks, which may start and
-end anywhere. Each block is searched for the separator at once; what it says is its number of tokens and the
-places of its separators. A prefix scan over the blocks of a file gives where a block starts, how many documents end before
-it, and where the last separator before it is, so a document that lies across blocks is stitched. The scan has two
-levels, blocks within groups of ``GROUP`` blocks and groups within a file, so a large file isn't one task's.
+A flat file is a run of token ids (little-endian, of 2 or 4 bytes) with an end-of-document id after each document. Files are
+listed with their sizes, each is cut into ranges of bytes that may start and end anywhere, and tasks open a file at their
+range's place, so no file is read by one task. Each range is searched for the separator at once; what it says is its number
+of tokens and the places of its separators. A prefix scan over the ranges of a file gives where a range starts, how many
+documents end before it, and where the last separator before it is, so a document that lies across ranges is stitched. The
+scan has two levels, ranges within groups of ``GROUP`` ranges and groups within a file, so a large file isn't one task's.
+
+Files are opened through pyarrow's file systems (local and shared folders, HDFS, S3, GCS), by the URI of their folder.
 
 Defined cases: tokens after a file's last separator are a document without an end and get ``ended`` false; two
 separators in a row hold an empty document; a file without tokens has no documents; empty blocks do no harm; null data
-counts as empty. Making files: a null text is an empty document; rows that repeat an id are documents of their own; a
-null id goes to the first file and stands first; very long texts are taken whole; an empty table gives an empty result.
+counts as empty; a file whose size isn't a whole number of ids is an error. Writing files: a null text is an empty document;
+rows that repeat an id are documents of their own; a null id is kept; very long texts are taken whole; a vocabulary that holds
+the separator is an error; an empty table writes nothing, and a folder without files gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import _spec, coder
-from .common import Scratch, slices, table
+from .common import Scratch, as_fields, quoted, slices, table
 
 SEPARATOR = 50256
-BLOCK_TOKENS = 1 << 16
+#: Bytes of a range, and ranges of a group of the prefix scan.
+RANGE_BYTES = 4 << 20
 GROUP = 4096
-#: UTF-8 bytes of text for each file that documents are written to.
-FILE_BYTES = 16 << 20
-
-
-def read_blocks(spark: SparkSession, path: str, block_bytes: int = 4 * BLOCK_TOKENS) -> DataFrame:
-    """Rows (file, block, data) of the binary files of a folder; Spark reads each file as one row, of 2 GB at most."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = content.as_py() or b""
-                for k, at in enumerate(range(0, len(data), block_bytes)):
-                    yield pa.RecordBatch.from_pydict({"file": [name], "block": pa.array([k], pa.int64()), "data": pa.array([data[at : at + block_bytes]], pa.binary())})
+#: Ranges that a task reads, about.
+RANGES_PER_TASK = 8
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
 
+def width_of(separator: int) -> int:
+    """Bytes of an id in files that end documents with ``separator``."""
+    return 2 if separator < 1 << 16 else 4
 
-def file_of(id_col: str, n_files: int) -> F.Column:
-    """The file of a document, by a hash of its id."""
-    return F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_files)).cast("int"))
 
+def write_files(df: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR) -> DataFrame:
+    """Rows (id, file, doc_index): the documents of ``df`` as flat files, one for each task, in the order of its rows.
 
-def make_blocks(df: DataFrame, n_files: int, *, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR) -> DataFrame:
-    """Flat files of documents' ids in the order of their ids, as rows (file, block, data) of little-endian 32-bit integers."""
+    The rows say where each document is, nothing of its length. Files are written when the rows are, so save them; a task that
+    runs again writes the same file, under another name until it is whole.
+    """
     spec = _spec(df, None, None)
-    dealt = df.select(file_of(id_col, n_files).alias("file"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition(n_files, "file").sortWithinPartitions("file", "id", "text")
-    end = np.array([separator], "<u4").tobytes()
-    full = 4 * BLOCK_TOKENS
+    kind = f"<u{width_of(separator)}"
+    rows = df.select(*[c.alias(n) for c, n in zip(quoted(id_col), ("id",), strict=True)], F.coalesce(*quoted(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         c = coder(spec.value)
-        now, block, held = None, 0, bytearray()
-
-        def row(data: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"file": pa.array([now], pa.int32()), "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
-
+        if len(c.table) > separator:
+            raise ValueError("the vocabulary holds the separator's id")
+        end = np.array([separator], kind).tobytes()
+        fs, root = pafs.FileSystem.from_uri(folder)
+        name, held = f"{root}/{task:08d}.bin", f"{root}/_{task:08d}.{uuid.uuid4().hex}"
+        out, at = None, 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                for file, ids in zip(part.column("file").to_pylist(), c.encode(part.column("text").to_pylist()), strict=True):
-                    if file != now:
-                        if held:
-                            yield row(bytes(held))
-                        now, block, held = file, 0, bytearray()
-                    held += ids
-                    held += end
-                    at = 0
-                    while len(held) - at >= full:
-                        yield row(bytes(held[at : at + full]))
-                        block, at = block + 1, at + full
-                    if at:
-                        del held[:at]
-        if held:
-            yield row(bytes(held))
-
-    return dealt.mapInArrow(run, "file int, block long, data binary")
-
-
-def scan_blocks(blocks: DataFrame, *, separator: int = SEPARATOR) -> DataFrame:
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    out = fs.open_output_stream(held)
+                for ids in c.encode(part.column("text").to_pylist()):
+                    out.write(np.frombuffer(ids, "<u4").astype(kind).tobytes())
+                    out.write(end)
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "file": pa.array([task] * part.num_rows, pa.int32()), "doc_index": pa.array(range(at, at + part.num_rows), pa.int64())})
+                at += part.num_rows
+        if out is not None:
+            out.close()
+            if fs.get_file_info(name).type != pafs.FileType.NotFound:
+                fs.delete_file(name)
+            fs.move(held, name)
+
+    return rows.mapInArrow(run, as_fields(rows, ["id"], "file int, doc_index bigint"))
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (path, size) of a folder's files, from its listing."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(at) if s.isFile()] if fs.exists(at) else []
+    return spark.createDataFrame([f for f in found if not f[0].rsplit("/", 1)[1].startswith(("_", "."))], "path string, size long")
+
+
+def read_ranges(files: DataFrame, *, width: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows (file, block, data) of the byte ranges of files (path, size); ``file`` is the path."""
+    step = max(width, range_bytes // width * width)
+    whole = F.when(F.col("size") % width != 0, F.raise_error(F.concat("path", F.lit(": not a whole number of ids"))).cast("long")).otherwise(F.col("size"))
+    cut = files.select("path", whole.alias("size")).where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / step))).alias("block"))
+    n = files.agg(F.sum(F.ceil(F.col("size") / step)).alias("n")).first()["n"] or 0
+    dealt = cut.repartition(max(1, min(int(n), max(int(n) // RANGES_PER_TASK, files.sparkSession.sparkContext.defaultParallelism))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, block in zip(*[batch.column(c).to_pylist() for c in ("path", "size", "block")], strict=True):
+                fs, at = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(at) as f:
+                    data = f.read_at(min(step, size - block * step), block * step)
+                yield pa.RecordBatch.from_pydict({"file": [path], "block": pa.array([block], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    return dealt.mapInArrow(run, "file string, block long, data binary")
+
+
+def scan_blocks(blocks: DataFrame, *, separator: int = SEPARATOR, width: int = 4) -> DataFrame:
     """Rows (file, block, n, seps) that say how many tokens a block has and where its separators are."""
     kind = blocks.schema["file"].dataType.simpleString()
 
@@ -92,7 +118,7 @@ def scan_blocks(blocks: DataFrame, *, separator: int = SEPARATOR) -> DataFrame:
         for batch in batches:
             n, found = [], []
             for data in batch.column("data"):
-                ids = np.frombuffer(data.as_buffer() or b"", "<u4")
+                ids = np.frombuffer(data.as_buffer() or b"", f"<u{width}")
                 n.append(len(ids))
                 found.append(np.flatnonzero(ids == separator).astype(np.int32))
             yield pa.RecordBatch.from_pydict({"file": batch.column("file"), "block": batch.column("block"), "n": pa.array(n, pa.int64()), "seps": pa.array(found, pa.list_(pa.int32()))})
@@ -123,13 +149,17 @@ def stitch(scanned: DataFrame) -> DataFrame:
     return whole.unionAll(open_end)
 
 
+def count_tokens(spark: SparkSession, folder: str, *, separator: int = SEPARATOR, width: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Rows (file, doc_index, first_token, n_tokens, ended) of the documents in a folder's flat files. Runs jobs; keeps a table in the shared folder."""
+    width = width or width_of(separator)
+    blocks = read_ranges(list_files(spark, folder), width=width, range_bytes=range_bytes)
+    return stitch(Scratch(spark, "token-scan").save(scan_blocks(blocks, separator=separator, width=width)))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as flat token files, scanned for their ends: doc_id, file, doc_index, first_token, n_tokens."""
+    """Documents written as flat token files, which are then scanned for their ends: doc_id, file, doc_index, first_token, n_tokens."""
     scratch = Scratch(spark, "tokens")
-    docs = table(spark, sf_dir, "documents")
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_files = max(8, size // FILE_BYTES)
-    found = stitch(scratch.save(scan_blocks(make_blocks(docs, n_files))))
-    order = Window.partitionBy("file").orderBy("doc_id")  # rows that repeat an id are alike to the reader of a file
-    placed = docs.select("doc_id", file_of("doc_id", n_files).alias("file")).withColumn("doc_index", (F.row_number().over(order) - 1).cast("long"))
-    return placed.join(found, ["file", "doc_index"]).select("doc_id", "file", "doc_index", "first_token", "n_tokens")
+    folder = f"{scratch.base}/files"
+    placed = scratch.save(write_files(table(spark, sf_dir, "documents"), folder))
+    found = count_tokens(spark, folder).withColumn("file", F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("int"))
+    return placed.join(found, ["file", "doc_index"]).select(F.col("id").alias("doc_id"), "file", "doc_index", "first_token", "n_tokens")

@@ -352,14 +352,39 @@ def test_op7_cases(spark, monkeypatch):
         if start < len(ids):
             want.append((f, k, start, len(ids) - start, False))
     assert got == sorted(want)
-    assert token_counts.scan_blocks(token_counts.make_blocks(odd(spark), 3)).agg(F.sum(F.size("seps"))).first()[0] == len(ODD) + 2
-    assert token_counts.make_blocks(empty(spark), 3).count() == 0
 
 
-def test_op7_files(spark, tmp_path):
-    np.array([1, 2, 50256, 3], "<u4").tofile(tmp_path / "a.bin")
-    found = token_counts.stitch(token_counts.scan_blocks(token_counts.read_blocks(spark, str(tmp_path), 8))).collect()
-    assert sorted((r.n_tokens, r.ended) for r in found) == [(1, False), (2, True)]
+def test_op7_files(spark, tmp_path, monkeypatch):
+    """Files of several ranges against a walk through each, written by others and by us."""
+    rnd = random.Random(5)
+    for width, sep in ((2, 50256), (4, 70_000)):
+        folder, want = tmp_path / str(width), []
+        folder.mkdir()
+        for name in "abcde":
+            ids = [rnd.choice([sep, 1, 2, 3, 4, 5]) for _ in range(rnd.randint(0, 200))] if name != "e" else []
+            np.array(ids, f"<u{width}").tofile(folder / f"{name}.bin")
+            start = k = 0
+            for at, x in enumerate(ids):
+                if x == sep:
+                    want.append((name, k, start, at - start, True))
+                    start, k = at + 1, k + 1
+            if start < len(ids):
+                want.append((name, k, start, len(ids) - start, False))
+        (folder / "_unfinished").write_bytes(b"x")
+        for size in (3, 20, 1 << 20):
+            got = token_counts.count_tokens(spark, str(folder), separator=sep, range_bytes=size).collect()
+            assert sorted((r.file[-5], r.doc_index, r.first_token, r.n_tokens, r.ended) for r in got) == sorted(want)
+    (folder / "odd.bin").write_bytes(b"xyz")
+    with pytest.raises(Exception, match="whole number"):
+        token_counts.count_tokens(spark, str(folder), separator=70_000).collect()
+    scratch = Scratch(spark, "t")
+    placed = scratch.save(token_counts.write_files(clashing(spark).withColumn("file", F.lit("mine")), str(tmp_path / "own")))
+    found = token_counts.count_tokens(spark, str(tmp_path / "own")).withColumn("file", F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("int"))
+    both = placed.join(found, ["file", "doc_index"]).collect()
+    assert sorted((r.id is None, r.id or 0, r.n_tokens) for r in both) == sorted((r.doc_id is None, r.doc_id or 0, len(tokens(r.text))) for r in odd(spark).collect())
+    assert scratch.save(token_counts.write_files(empty(spark), str(tmp_path / "none"))).count() == 0 and token_counts.count_tokens(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="holds the separator"):
+        token_counts.write_files(odd(spark), str(tmp_path / "bad"), separator=100).collect()
 
 
 def brute_components(fps):
