@@ -1,17 +1,17 @@
 """Removal of repeated substrings, keeping the first copy, by longest previous factors in suffix order.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. In suffix order, a
-suffix's longest previous factor is its longer match with the previous or the next suffix of a smaller document. Suffixes
-are sorted to ``LENGTH`` bytes and ties stand in document order, so at that length the previous smaller one decides: a
-suffix's factor is long enough if the first of its tie is of a smaller document; the next smaller one bears on shorter
-matches only.
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a document with a smaller id. A suffix's longest
+previous factor is the longest prefix, up to ``LENGTH`` bytes, that it shares with a suffix of a smaller document. In suffix
+order that is its longer match with two neighbours: the nearest before it of a smaller document, and the nearest after it.
+Suffixes are sorted by ranks of 8, 16, 32 and ``LENGTH`` bytes, which tell the lengths of matches too.
 
 One suffix array of all texts would be no use on a cluster, so strings that can be equal are brought together first:
 
 1. Each string has an anchor, the smallest hash of its substrings of ``GRAM`` bytes; equal strings have equal anchors.
    Consecutive strings with one anchor form a run. Blocks of documents ask which anchors other blocks hold too.
-2. Runs whose anchor another document holds are sent to the anchor's bucket, equal runs of a block once. A bucket sorts the
-   suffixes of its distinct runs and says of each string whether a smaller document has it.
+2. Runs whose anchor another document holds are sent to the anchor's bucket, equal runs of a block once. A bucket works out the
+   factors of its distinct runs' suffixes (a run without another beside its anchor has none) and says of each string whether
+   its factor is ``LENGTH`` bytes long, or the same run stands in a smaller document.
 3. Blocks put the answers together, and cut the covered bytes out.
 
 Equal runs are merged before they move, so a passage in a third of all documents costs each block one run.
@@ -19,7 +19,8 @@ Equal runs are merged before they move, so a passage in a third of all documents
 Defined cases: a null or empty text has nothing to remove, like one shorter than ``LENGTH``; very long texts are taken whole;
 overlapping strings count, and strings are judged on the input; rows that repeat an id don't remove each other; a row
 with a null id is left as it is and removes nothing; an empty table gives an empty result; other columns of the input
-are not read. Anchors and runs are compared by hashes of 40 and 64 bits; strings are compared byte by byte.
+are not read. Anchors are compared by hashes of 40 bits, which can only bring together more; whole runs are the same if
+hashes of 64 bits are; strings of runs that differ are compared byte by byte, through their ranks.
 """
 
 from __future__ import annotations
@@ -221,27 +222,54 @@ def _gather(x: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return x[np.cumsum(at)]
 
 
-def previous_documents(x: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each string of ``LENGTH`` bytes at ``start`` the smallest document that has an equal one, by suffix order.
+def smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, -1 for none.
 
-    Suffixes are ranked by 8, 16, 32 and then all bytes; ties stand in document order, so the first of a tie is where the
-    previous smaller documents of the others end.
+    A pointer passes over a place whose value isn't smaller to where that place points, as all that lies between is no
+    smaller either; pointers double what they pass over.
     """
-    words = np.ndarray((len(x) - 7,), ">u8", np.ascontiguousarray(x), strides=(1,)).astype(np.uint64)
-    rank = np.unique(words, return_inverse=True)[1].astype(np.uint64)
-    for step in (8, 16, LENGTH - 32):
-        pair = rank[:-step] << np.uint64(32) | rank[step:]
-        if step == LENGTH - 32:
-            pair = pair[start]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-    order = np.lexsort((doc, rank))
-    head = np.ones(len(order), bool)
-    head[1:] = rank[order][1:] != rank[order][:-1]
-    out = np.empty(len(order), doc.dtype)
-    out[order] = doc[order][head][np.cumsum(head) - 1]
+    at = np.arange(-1, len(values) - 1, dtype=np.int64)
+    open_ = np.flatnonzero(at >= 0)
+    while len(open_):
+        open_ = open_[values[at[open_]] >= values[open_]]
+        at[open_] = at[at[open_]]
+        open_ = open_[at[open_] >= 0]
+    return at
+
+
+def _matches(x: np.ndarray, ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes, up to ``LENGTH``, the suffixes at ``a`` and ``b`` share: ranks tell of 32, 16 and 8, bytes of the rest."""
+    out = np.zeros(len(a), np.int64)
+    for step in (32, 16, 8):
+        fits = np.flatnonzero(out <= LENGTH - step)
+        out[fits[ranks[step][a[fits] + out[fits]] == ranks[step][b[fits] + out[fits]]]] += step
+    going = np.flatnonzero(out < LENGTH)
+    while len(going):
+        going = going[x[a[going] + out[going]] == x[b[going] + out[going]]]
+        out[going] += 1
+        going = going[out[going] < LENGTH]
     return out
 
 
+def longest_previous_factors(x: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each suffix at ``start`` (of ``LENGTH`` bytes or more) the longest prefix, up to ``LENGTH`` bytes, that one of a smaller document has too."""
+    words = np.ndarray((len(x) - 7,), ">u8", np.ascontiguousarray(x), strides=(1,)).astype(np.uint64)
+    ranks = {8: np.unique(words, return_inverse=True)[1].astype(np.uint64)}
+    for step in (8, 16):
+        r = ranks[step]
+        ranks[2 * step] = np.unique(r[:-step] << np.uint64(32) | r[step:], return_inverse=True)[1].astype(np.uint64)
+    whole = ranks[32][start] << np.uint64(32) | ranks[32][start + LENGTH - 32]
+    order = np.lexsort((doc, whole))
+    at, of = start[order], doc[order]
+    out = np.zeros(len(order), np.int64)
+    for near in (smaller_before(of), len(of) - 1 - smaller_before(of[::-1])[::-1]):
+        some = np.flatnonzero((near >= 0) & (near < len(of)))
+        out[some] = np.maximum(out[some], _matches(x, ranks, at[some], at[near[some]]))
+    factors = np.empty(len(order), np.int64)
+    factors[order] = out
+    return factors
+
+
 def _parts(anchor: np.ndarray, length: np.ndarray) -> Iterator[slice]:
     """Slices of sorted anchors of about ``SORTED_BYTES``, each anchor whole."""
     firsts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else []
@@ -272,9 +300,9 @@ def _judge(asked: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
     new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
     head, kind = order[new], np.empty(len(order), np.int64)
     kind[order] = np.cumsum(new) - 1
-    # Of each distinct run: its first document, and where its strings begin among those of all.
+    # Where the strings of each distinct run begin among those of all, and which of them a smaller document has.
     offset = np.cumsum(strings[head]) - strings[head]
-    earliest = np.repeat(least[head], strings[head])
+    repeated = np.zeros(int(strings[head].sum()), bool)
     several = np.zeros(len(head), bool)  # runs beside which the anchor has another
     alike = anchor[head][1:] == anchor[head][:-1]
     several[1:] |= alike
@@ -286,10 +314,10 @@ def _judge(asked: list[dict[str, np.ndarray]]) -> list[dict[str, np.ndarray]]:
         n = strings[some]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begins = np.cumsum(length[some]) - length[some]
-        found = previous_documents(_gather(x, start[some], length[some]), np.repeat(begins, n) + inner, np.repeat(least[some], n))
-        earliest[np.repeat(offset[which], n) + inner] = found
+        factors = longest_previous_factors(_gather(x, start[some], length[some]), np.repeat(begins, n) + inner, np.repeat(least[some], n))
+        repeated[np.repeat(offset[which], n) + inner] = factors >= LENGTH
     inner = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-    flags = (earliest[np.repeat(offset[kind], strings) + inner] < np.repeat(least, strings)).astype(np.uint8)
+    flags = (repeated[np.repeat(offset[kind], strings) + inner] | np.repeat(least[head][kind] < least, strings)).astype(np.uint8)
     cuts = np.cumsum([0, *[int(a["strings"].sum()) for a in asked]])
     return [{"answer": flags[cuts[i] : cuts[i + 1]]} for i in range(len(sizes))]
 

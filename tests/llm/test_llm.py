@@ -155,6 +155,29 @@ def test_op3_cases(spark):
     assert substring_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_op3_longest_previous_factors():
+    """Against all pairs of suffixes."""
+    rnd = random.Random(23)
+    for letters, n in (("a", 120), ("ab", 200), ("abcd", 300), ("ab" * 20 + "c", 400)):
+        raw = "".join(rnd.choice(letters) for _ in range(n))
+        cut = rnd.randint(0, 40)
+        raw += raw[cut : cut + 90] + raw[10:70]
+        x, last = np.frombuffer(raw.encode(), np.uint8), len(raw) - 50
+        start = np.array(sorted(rnd.sample(range(last + 1), min(last, 150))))
+        doc = np.array([rnd.randint(0, 8) for _ in start])
+
+        def common(a, b, raw=raw):
+            k = 0
+            while k < 50 and raw[a + k] == raw[b + k]:
+                k += 1
+            return k
+
+        want = [max([common(a, b) for b, e in zip(start, doc, strict=True) if e < d], default=0) for a, d in zip(start, doc, strict=True)]
+        assert substring_dedup.longest_previous_factors(x, start, doc).tolist() == want
+    values = np.array([rnd.randint(0, 9) for _ in range(500)])
+    assert substring_dedup.smaller_before(values).tolist() == [max([j for j in range(i) if values[j] < values[i]], default=-1) for i in range(500)]
+
+
 def test_op3_long_texts_in_pieces():
     rnd = np.random.default_rng(1)
     raw = rnd.integers(97, 123, 3 * substring_dedup.PIECE // 2, dtype=np.uint8)
