@@ -100,6 +100,7 @@ class Coder:
         model = json.loads(tokenizer_json)["model"]
         self.tokenizer = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m) for m in model["merges"]], ignore_merges=True, cache_capacity=0))
         self.matches = regex.compile(pattern).findall
+        self.cuts = pattern == public_tokenizers.PATTERN  # of another pattern nothing is known, so its texts stay whole
         self.first, self.later, self.pieces = Memo(), Memo(), Memo()
         self.shown = dict(enumerate(byte_characters()))
         of_char = {c: b for b, c in self.shown.items()}
@@ -133,14 +134,16 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as the bytes of little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) for t in texts]
+        cut = [_CUT.split(t) if self.cuts else [t] for t in texts]
         self._learn(self.first, [c[0] for c in cut], "")
         self._learn(self.later, [x for c in cut for x in c[1:]], " ")
         first, later = self.first, self.later
         return [first[c[0]] + b"".join([later[x] for x in c[1:]]) for c in cut]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes that ids stand for."""
+        """The bytes that ids stand for; one that the vocabulary lacks is an error."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.table):
+            raise ValueError("an id that the vocabulary lacks")
         return b"".join(map(self.table.__getitem__, ids.tolist()))
 
     def offsets(self, ids: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +194,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 
 
 def decode(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Rows of ``id_col`` and ``decoded`` (binary), the bytes that the ids stand for; null ids count as none."""
+    """Rows of ``id_col`` and ``decoded`` (binary), the bytes that the ids stand for; null ids count as none, in an array too; an id that the vocabulary lacks is an error."""
     spec = _spec(df, vocabulary, pattern)
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -200,7 +203,7 @@ def decode(df: DataFrame, *, id_col: str = "doc_id", ids_col: str = "ids", vocab
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [c.decode(np.asarray(x or [], dtype=np.int64)) for x in part.column(ids_col).to_pylist()]
+                rows = [c.decode(np.asarray([i for i in x or [] if i is not None], dtype=np.int64)) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_pydict({id_col: part.column(id_col), "decoded": pa.array(rows, pa.binary())})
 
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")

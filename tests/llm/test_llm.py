@@ -79,6 +79,13 @@ def test_op1_cases(spark):
         assert ids.tolist() == tokens(t) and coder.decode(ids) == t.encode()
         starts, ends = coder.offsets(ids, t.encode())
         assert all(coder.table[i].decode("utf-8", "ignore") in t[a:b] or a < b for i, a, b in zip(ids, starts, ends, strict=True))
+    words = bpe.Coder(bpe.build_tokenizer(bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))), r"\S+ \S+|\S+|\s+")
+    assert words.decode(np.frombuffer(words.encode(["one two three"])[0], "<u4")) == b"one two three"
+    some = spark.createDataFrame([(1, [65, None, 66]), (2, None)], "doc_id long, ids array<int>")
+    assert {r.doc_id: len(r.decoded) for r in bpe.decode(some).collect()} == {1: 2, 2: 0}
+    for bad in (-1, 10**6):
+        with pytest.raises(ValueError, match="lacks"):
+            coder.decode(np.array([bad]))
     made = bpe.encode(odd(spark), offsets=True)
     assert made.count() == len(ODD) + 2 and bpe.encode(empty(spark)).count() == 0
     assert sorted(bytes(r.decoded).decode() for r in bpe.decode(made).collect()) == sorted([t or "" for t in ODD] + ["", "null id text"])
@@ -507,6 +514,30 @@ def test_op9_long_runs_in_linear_time():
     assert len(secret_scan.spans("secret deadbeefdeadbeef01 " * 20_000)[0]) == 20_000
 
 
+def test_op9_calibration():
+    """Random keys of four alphabets after sensitive words, and decoys: identifiers, paths, dotted names, dated names, camel case."""
+    rnd = random.Random(1)
+    leads = ("Authorization: Bearer {}", "credential {}", "private key is {}", "signature={}", "access_key -> {}", "passphrase was {}")
+    names = "config service request handler manager session user token value index client server default schema buffer public vector".split()
+    name = lambda: rnd.choice(names)
+    prose = lambda: " ".join(rnd.choice(names) for _ in range(15))
+
+    def caught(x):
+        text = f"{prose()}\n{rnd.choice(leads).format(x)}\n{prose()}"
+        at = text.index(x)
+        return any(a < at + len(x) and at < b for a, _, b in secret_scan.spans(text)[1])
+
+    digits, upper, lower = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(a) for _ in range(n)) for a in (digits + upper + lower, digits + upper + lower + "+/", upper + "234567", digits + "ABCDEF") for n in (20, 32, 40, 64) for _ in range(40)]
+    makers = (
+        lambda: f"{name()}_{name()}_{name()}{rnd.randint(1, 99)}", lambda: f"usr/local/{name()}/{name()}{rnd.randint(1, 9)}.json", lambda: f"{name()}.{name()}.{name()}.{name()}.v2",
+        lambda: f"{name()}-{name()}-{name()}-2024-01-0{rnd.randint(1, 9)}", lambda: "".join(name().capitalize() for _ in range(4)) + "2",
+    )
+    decoys = [makers[i % 5]() for i in range(500)]
+    assert sum(map(caught, keys)) >= 0.99 * len(keys)
+    assert sum(map(caught, [d for d in decoys if len(d) >= 16])) <= 0.08 * len(decoys)
+
+
 def test_op10(spark, sf):
     df = registry.QUERIES["op10_decontaminate"](spark, sf)
     assert difference(df, decontaminate.ORACLE_SQL, sf) is None
