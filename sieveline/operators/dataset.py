@@ -6,7 +6,6 @@ from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as St
 
 from ..functions.spans import overlap_pairs, piece
 from ..functions.text import fingerprint, strip
@@ -314,6 +313,3 @@ def profile_totals(profiles: DataFrame, file: str) -> DataFrame:
 def field_counts(records: DataFrame, value: str, *by: str) -> DataFrame:
     """How many records have each field."""
     return records.select(*by, F.explode(F.json_object_keys(value)).alias("field")).groupBy(*by, "field").agg(F.count("*").alias("n"))
-
-
-ENTITY_TYPE = St.ArrayType(St.StructType([St.StructField("type", St.StringType()), St.StructField("text", St.StringType()), St.StructField("start", St.IntegerType()), St.StructField("end", St.IntegerType())]))
