@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-BUCKET_KEYS = 2_000_000
+#: Files of the table of blocks at most, as Spark allows; beyond, a file holds several blocks, which are still worked on one by one.
 MAX_BUCKETS = 100_000
 
 
@@ -87,14 +87,6 @@ class Blocks:
         return self.df.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def questions(block: int, bucket: np.ndarray, n: int, **arrays: np.ndarray) -> tuple[list[dict], np.ndarray]:
-    """Rows (block, bucket, data) with the arrays' entries dealt to their buckets, and the order in which that takes them."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    rows = [{"block": block, "bucket": b, "data": pack(**{k: v[order[cuts[b] : cuts[b + 1]]] for k, v in arrays.items()})} for b in np.flatnonzero(np.diff(cuts)).tolist()]
-    return rows, order
-
-
 def answered(answers: pa.Table, order: np.ndarray, name: str = "answer") -> np.ndarray:
     """Answers, in the order of the entries that were asked for."""
     parts = sorted(zip(answers.column("bucket").to_pylist(), answers.column("data").to_pylist(), strict=True))

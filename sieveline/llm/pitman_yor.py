@@ -379,7 +379,7 @@ def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lear
     teaches = F.coalesce(learn if learn is not None else F.lit(True), F.lit(False))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), teaches.alias("learn"))
     blocks = Blocks(scratch, rows.mapInArrow(_block_rows, "block long, ids array<long>, data binary, n_bytes long"))
-    n = int(max(8, min(100_000, total(blocks.df, "n_bytes") // BUCKET_BYTES)))
+    n = int(max(8, total(blocks.df, "n_bytes") // BUCKET_BYTES))
 
     # 1. Words: their counts in training texts, and numbers that are dense over all buckets.
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

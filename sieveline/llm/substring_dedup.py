@@ -348,7 +348,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(df.sparkSession, "repeats")
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = Blocks(scratch, rows.where("id IS NOT NULL").mapInArrow(_block_rows, "block long, ids array<long>, sizes array<long>, data binary, n_bytes long"))
-    n = int(max(8, min(100_000, total(blocks.df, "n_bytes") // BUCKET_BYTES)))
+    n = int(max(8, total(blocks.df, "n_bytes") // BUCKET_BYTES))
 
     def ask_anchors(batches):
         for batch in batches:

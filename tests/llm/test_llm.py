@@ -664,7 +664,7 @@ def test_pipeline_of_odd_rows(spark, sf):
 
 def test_language_stage(spark, sf, docs):
     """Against the model itself, and texts that leave doubt."""
-    df = spark.createDataFrame([(i, t, lang, s, n) for i, t, lang, s, n in docs] + [(10**6, "zq", "", "", 2), (10**6 + 1, "zqxj " * 200, "", "", 1000), (10**6 + 2, "123 456", "", "", 7)], DOCS)
+    df = spark.createDataFrame([(i, t, lang, s, n) for i, t, lang, s, n in docs] + [(10**6, "zq", None, "", 2), (10**6 + 1, "zqxj " * 200, None, "", 1000), (10**6 + 2, "123 456", None, "", 7)], DOCS)
     model = langid.fit(df)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, df, sf).collect()}
     for i, t, *_ in docs:
