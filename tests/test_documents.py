@@ -32,7 +32,7 @@ def rows(spark, *images):
     return spark.createDataFrame([(i, *x.shape, bytearray(x.tobytes())) for i, x in enumerate(images)], IMAGE)
 
 
-def test_documents(spark):
+def test_documents(spark, tmp_path):
     lines = [[box(10, 10, 172, 30), ["a@example.cc", 0.9]], [box(10, 45, 172, 65), ["no entity at", 0.8]]]
 
     class Bars:
@@ -45,12 +45,14 @@ def test_documents(spark):
             return [lines]
 
     images = rows(spark, page(), np.zeros((20, 20, 3), np.uint8))
-    out = {r.image_id: r for r in documents.process(images, Bars, mode="black").collect()}
+    documents.process(images, Bars, mode="black").write.parquet(str(tmp_path / "made"))
+    kept = spark.read.parquet(str(tmp_path / "made"))
+    out = {r.image_id: r for r in kept.collect()}
     first = out[0]
     assert first.full_text == "a@example.cc\nno entity at" and [(e.type, e.text) for e in first.entities] == [("email", "a@example.cc")]
     assert first.result[:4] == b"\x89PNG" and first.entities[0].enabled and len(first.entities[0].boxes) == 1
     assert out[1].entities == [] and out[1].warnings == ["OCR failed: RuntimeError"] and out[1].result
-    made = documents.process(images, Bars).select("image_id", "full_text", "entities", "warnings")
+    made = kept.select("image_id", "full_text", "entities", "warnings")
     assert json.loads(documents.report(made).orderBy("image_id").first().report)["entities"][0]["type"] == "email"
     off = made.withColumn("entities", F.transform("entities", lambda e: e.withField("enabled", F.lit(False))))
     assert documents.regenerate(images, off, "mosaic").where("image_id = 0").first().result == raster.png(page())
