@@ -87,7 +87,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         cells += [F.struct((F.col("cell") + w * (1 << CELL_BITS * j)).alias("cell"), F.lit(w * (j + 1)).alias("way")) for w in ways for j in range(SEGMENTS)]
         return at.select(F.col("fp").alias(name), F.explode(F.array(*cells)).alias("c")).select(name, F.col("c.cell").alias("cell"), F.col("c.way").alias(f"way_{name}"))
 
-    met = filed("a", (1,)).join(filed("b", (1, -1)), "cell")
+    # Spark takes an exploded side for as small as the file below it, and by default would broadcast millions of rows.
+    met = filed("a", (1,)).join(filed("b", (1, -1)).hint("merge"), "cell")
     same = "way_a = 0 AND way_b = 0 AND a < b"
     one = "way_a = 0 AND way_b < 0"
     two = "(way_a > 0 AND way_b > way_a) OR (way_a > 0 AND way_b < 0 AND way_a <= -way_b)"

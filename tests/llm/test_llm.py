@@ -462,6 +462,13 @@ def test_op8_links_are_all_found_once(spark):
         simhash.links(spark.range(1).withColumnRenamed("id", "fp"), 3)
 
 
+def test_op8_broadcasts_no_exploded_side(spark):
+    """The default threshold goes by the size of a file, but each of its rows becomes 17 or 33."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    nodes = Scratch(spark, "t").save(spark.range(1000).select(F.xxhash64("id").alias("fp")))
+    assert "Broadcast" not in simhash.links(nodes)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_op8_cases(spark):
     rows = simhash.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(ODD) + 2
