@@ -609,6 +609,23 @@ def test_near_copies(spark):
     assert near_copies.keep_one(empty(spark)).count() == 0
 
 
+def test_near_copies_broadcast_nothing_larger_than_its_file(spark, monkeypatch):
+    """Sides that are exploded, and sets that compress, are joined by a shuffle at the default threshold."""
+    plans = []
+
+    class Seen(Scratch):
+        def save(self, df):
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+            return super().save(df)
+
+    monkeypatch.setattr(near_copies, "Scratch", Seen)
+    common = " ".join(f"w{i}" for i in range(200))
+    kept = near_copies.keep_one(spark.createDataFrame([(i, f"{common} x{i}", "en", "s", 1) for i in range(20)], DOCS))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    found = {part: [p for p in plans if part in p] for part in ("posexplode", "array_intersect", "SortMergeJoin [cell")}
+    assert all(found.values()) and not any("Broadcast" in p for part in ("posexplode", "array_intersect") for p in found[part])
+
+
 def test_near_copies_of_crossing_families(spark):
     """Edits of originals that share a passage, and texts with little but the passage, against components over all pairs."""
     rnd = random.Random(21)
