@@ -4,17 +4,17 @@ A page becomes lines, one for each block of text, with a mark: *out* for what st
 sidebars, notices, adverts, forms, comments and the like (by element, role or class), *main* for what else stands in an
 article or main element, *open* for the rest. Pages are put in order of (host, URL path, id, URL, content), and each is paired
 with the one beside it, of its host, whose path has more in common with its own; the one before if both have as much, the
-other one if the first is a copy. The lines of a pair are aligned by longest common subsequence. Shared open lines are
-template and are deleted.
+other one if the first is a copy. The lines of a pair are aligned by longest common subsequence, on every page that has a
+partner. What both pages have is template, what a page has for itself is its text.
 
 Differencing alone can't give right results here: copies of an article under two URLs would delete each other, and an
-advert that only one page has would stay. So structure decides where it speaks: out lines go, main lines stay even if
-shared; a page with main lines keeps only those.
+advert that only one page has would stay. So structure corrects it where it speaks: of the lines that differ the out ones go, and of
+the shared ones the main ones come back. Open lines are left to differencing, whether or not the page has main lines.
 
 The order is over all pages: tasks take ranges of it, and the pages at the ends of ranges are paired across them afterwards, so
 the result doesn't depend on how many ranges there are.
 
-Defined cases: a null or empty html gives an empty text; a page without a partner is judged by structure; broken markup is
+Defined cases: a null or empty html gives an empty text; a page without a partner is judged by structure, so it keeps its main lines, or its open ones if it has no main line; broken markup is
 read as far as it goes; very long pages are read whole, and lines of a pair are aligned over whole pages; rows that repeat are treated alike; a null url counts as an empty
 host and path; an empty table gives an empty result; other columns of the input are not read, whatever their names.
 """
@@ -186,7 +186,7 @@ def shared(a: list, b: list) -> set[int]:
 
 
 class Page(NamedTuple):
-    """A page's lines: a hash of each, and the text of those that may be main text; whether differencing decides on those."""
+    """A page's lines: a hash of each, the text of those that may be main text, and a mark of each (o, m or a space)."""
 
     id: object
     url: str | None
@@ -194,18 +194,17 @@ class Page(NamedTuple):
     path: str
     hashes: list[bytes]
     texts: list[str | None]
-    differs: bool
+    marks: str
 
 
 def _hash(line: str) -> bytes:
     return xxhash.xxh64_digest(line.encode())[:HASH_BYTES]
 
 
-def read(html: str | None) -> tuple[list[bytes], list[str | None], bool]:
-    """Hashes of a page's lines, the texts that may stay, and whether they are open lines (a page with main lines keeps only those)."""
+def read(html: str | None) -> tuple[list[bytes], list[str | None], str]:
+    """Hashes of a page's lines, the texts of those that aren't out, and their marks, a space for open lines."""
     found = lines(html)
-    keep = "m" if any(mark == "m" for mark, _ in found) else ""
-    return [_hash(t) for _, t in found], [t if mark == keep else None for mark, t in found], keep == ""
+    return [_hash(t) for _, t in found], [None if mark == "o" else t for mark, t in found], "".join(mark or " " for mark, _ in found)
 
 
 def _small(hashes: list[bytes], texts: list[str | None]) -> tuple[bytes, bytes]:
@@ -224,11 +223,13 @@ def _large(body: bytes, rest: bytes) -> tuple[list[bytes], list[str | None]]:
 def main_text(own: Page, *others: Page | None) -> str:
     """A page's main text, given the pages beside it."""
     beside = [p for p in others if p and p.host == own.host and p.hashes != own.hashes]  # a copy of the page tells nothing
-    common: set[int] = set()
-    if own.differs and beside:
+    found = set(range(len(own.hashes)))
+    if beside:
         near = max(beside, key=lambda p: len(os.path.commonprefix([p.path, own.path])))
-        common = shared(own.hashes, near.hashes)
-    return " ".join(t for i, t in enumerate(own.texts) if t is not None and i not in common)
+        found -= shared(own.hashes, near.hashes)
+    elif "m" in own.marks:
+        found.clear()
+    return " ".join(t for i, (t, mark) in enumerate(zip(own.texts, own.marks, strict=True)) if t is not None and (i in found or mark == "m"))
 
 
 def _packed(*pages: Page | None) -> bytes:
@@ -253,10 +254,10 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
         packed = [_small(m[0], m[1]) for m in made]
         columns["body"] = pa.array([x[0] for x in packed], pa.binary())
         columns["rest"] = pa.array([x[1] for x in packed], pa.binary())
-        columns["differs"] = pa.array([m[2] for m in made], pa.bool_())
+        columns["marks"] = pa.array([m[2] for m in made], pa.string())
         return pa.RecordBatch.from_pydict(columns)
 
-    parsed = map_slices(keyed, "html", as_fields(keyed, order, "body binary, rest binary, differs boolean"), parse)
+    parsed = map_slices(keyed, "html", as_fields(keyed, order, "body binary, rest binary, marks string"), parse)
     dealt = parsed.repartitionByRange(*order).sortWithinPartitions(*order)
     named = as_fields(keyed, ["id", "url"], "text string, n_chars bigint")
 
@@ -289,8 +290,8 @@ def extract(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", htm
             kind = got.column("id").type
             for start in range(0, got.num_rows, 256):
                 p = got.slice(start, 256)
-                for *head, body, rest, differs in zip(*[p.column(c).to_pylist() for c in ("id", "url", "host", "path", "body", "rest", "differs")], strict=True):
-                    following = Page(*head, *_large(body, rest), differs)
+                for *head, body, rest, marks in zip(*[p.column(c).to_pylist() for c in ("id", "url", "host", "path", "body", "rest", "marks")], strict=True):
+                    following = Page(*head, *_large(body, rest), marks)
                     if now:
                         done(now, before, following, "first" if first else None)
                         first = False

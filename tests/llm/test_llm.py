@@ -324,6 +324,13 @@ def test_op6_long_pages():
     assert html_text.lines("<div>" * 60_000 + "deep" + "</div>" * 60_000)[-1][1] == "deep" and time.process_time() - started < 3
 
 
+def test_op6_differences_pages_with_an_article_too(spark):
+    page = "<nav>Top {0}</nav><div>Menu</div><article><p>Lead {0}</p><p>Same in all</p></article><div>Body {0}</div><p class=ad>Buy {0}</p><div>Imprint</div>"
+    rows = [(k, f"http://h.example/a/{k}", page.format(k)) for k in range(3)] + [(3, "http://alone.example/", page.format(3))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Lead {k} Same in all Body {k}" for k in range(3)} | {3: "Lead 3 Same in all"}
+
+
 def test_op6_doesnt_depend_on_partitions(spark):
     """Against a walk over all pages in order, by any number of ranges."""
     rnd = random.Random(17)
