@@ -680,6 +680,26 @@ def test_pipeline(spark, sf, docs):
     assert not whole & out.keys() and out.keys() <= set(first.values())
 
 
+@pytest.mark.parametrize("slots", [1, 3, 1 << 20])
+def test_decontamination_moves_doubtful_texts_only(spark, sf, monkeypatch, slots):
+    monkeypatch.setattr(corpus_pipeline, "SLOTS", slots)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit("before "), "text").alias("text")).limit(1)
+    docs = docs.unionByName(item, allowMissingColumns=True)
+    leaks = {r["doc_id"] for r in decontaminate.overlaps(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if more texts were found than can be broadcast
+    try:
+        made = corpus_pipeline.decontamination(spark, docs, sf)
+        plan, kept = made._jdf.queryExecution().sparkPlan().toString(), [r["doc_id"] for r in made.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert made.columns == docs.columns and -1 in leaks
+    assert sorted(kept) == sorted(r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] not in leaks)
+    head, *below = plan.split("SortMergeJoin", 1)[1].split("\n")
+    assert "LeftAnti" in head and any("BroadcastHashJoin" in line and "LeftSemi" in line for line in below[:3])
+
+
 def test_pipeline_of_odd_rows(spark, sf):
     scratch = Scratch(spark, "t")
     for rows in (odd(spark), clashing(spark), clashing(spark).drop("n_chars"), empty(spark)):
